@@ -14,8 +14,8 @@ one component. A second round takes every remaining pair that meets in a prefix
 components. A pair inside one component needs no check, since its link could not change a component. No
 group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
 
-Scale. A text is read three times and never shuffled; what moves are prefix entries (about a quarter of
-the shingles) and the sets of classes that met another. Prefix entries of frequent shingles are salted.
+Scale. Texts are read once for each of four scans and never shuffled; what moves are prefix entries (about
+a quarter of the shingles) and the sets of classes in candidate pairs. Prefix entries of frequent shingles are salted.
 """
 
 from __future__ import annotations
@@ -89,12 +89,13 @@ def _scan_classes(frequent: float):
 
 
 def ordered(members: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """A set in the global order, as ascending positive integers: frequent shingles last."""
+    """A sorted set in the global order, as ascending positive integers: frequent shingles last."""
     v = (members >> np.uint64(2)).view(np.int64)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
-        v = np.where(hot[at] == v, v | _HOT, v)
-    return np.unique(v)
+        frequent = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+        if frequent.any():
+            v = np.concatenate([v[~frequent], v[frequent] | _HOT])
+    return v
 
 
 def _scan_prefixes(hot: np.ndarray, percent: int):
@@ -241,9 +242,9 @@ def _verify(percent: int, block: int = 256):
     return run
 
 
-def _filter_table(met: DataFrame) -> np.ndarray:
-    """A bitmap of the classes that met another, by their low bits: of fixed size, whatever the input's."""
-    slots = met.select(F.pmod("cls", F.lit(FILTER_BITS)).alias("s"))
+def _filter_table(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of the classes in candidate pairs, by their low bits: of fixed size, whatever the input's."""
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(F.pmod("cls", F.lit(FILTER_BITS)).alias("s"))
     words = slots.groupBy(F.expr("shiftright(s, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
     rows = words.toPandas()
@@ -263,8 +264,10 @@ def _scan_sets(hot: np.ndarray, table: np.ndarray):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Which candidate pairs (a, b) are linked. Rows of a pair carry one set; the probe's comes once."""
+def _links(pairs: DataFrame, text: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    """Which candidate pairs (a, b) are linked. Only sets in a pair leave the scan; the probe's goes along once."""
+    sets = text.mapInArrow(_scan_sets(hot, _filter_table(pairs)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+    sets = materialize(sets, "sets")
     y = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "members")
     x = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("x"), F.lit(None).cast("long").alias("y"), "members")
     rows = y.unionByName(x).repartition(shuffle_partitions(pairs.sparkSession), "x").sortWithinPartitions(F.col("x"), F.col("y").asc_nulls_first())
@@ -293,9 +296,6 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sorted_entries = entries.repartition(shuffle_partitions(spark), "token", salt).sortWithinPartitions("token", salt, "n", "cls").select("token", "cls", "n", "pos")
     met = materialize(sorted_entries.mapInArrow(_meet, "token long, cls long, n int, pos int, prev long, prev_n int, prev_pos int"), "met")
 
-    needed = text.mapInArrow(_scan_sets(hot, _filter_table(met)), "cls long, members binary")
-    sets = materialize(needed.groupBy("cls").agg(F.first("members").alias("members")), "sets")
-
     def possible(n, m, i, j):
         """Whether sets of n and m members whose first common member stands at i and j can be linked."""
         least = F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -303,7 +303,8 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = met.filter(F.col("prev").isNotNull() & possible(F.col("n"), F.col("prev_n"), F.col("pos"), F.col("prev_pos"))).select(*pair(F.col("cls"), F.col("prev"))).distinct()
-    first = materialize(_links(near, sets, percent), "near-links")
+    near = materialize(near, "near-pairs")
+    first = materialize(_links(near, text, hot, percent), "near-links")
     label = connected_components(first)
 
     at = met.select("token", "cls", "n", "pos").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
@@ -312,7 +313,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     l, r = at.alias("l"), at.alias("r")
     meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
     rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
-    second = _links(rest, sets, percent)
+    second = _links(materialize(rest, "rest-pairs"), text, hot, percent)
     label = connected_components(first.unionByName(second))
 
     named = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))

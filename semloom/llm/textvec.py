@@ -99,29 +99,30 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k successive words, and where each text's begin; a text of fewer words has one of them all, one without words none."""
     h, count = w.hashes(), np.diff(w.first)
     n = len(h)
-    rolled = np.full(n, k, U)
-    for j in range(k):
-        part = np.zeros(n, U)
-        part[: max(0, n - j)] = h[j:]
-        rolled = mix(rolled * U(0x9E3779B97F4A7C15) + part)
+    rolled = np.zeros(n, U)
+    for j in range(min(k, n)):
+        rolled[: n - j] += h[j:] * _CODES[j]
+    rolled = mix(rolled)
     own = np.arange(n) - np.repeat(w.first[:-1], count)
     left = np.repeat(count, count) - own
-    short = np.flatnonzero((count > 0) & (count < k))
-    for i in short:
-        value = U(count[i])
-        for x in h[w.first[i] : w.first[i + 1]]:
-            value = mix(np.array([value * U(0x9E3779B97F4A7C15) + x], U))[0]
-        rolled[w.first[i]] = value
+    for i in np.flatnonzero((count > 0) & (count < k)):
+        part = h[w.first[i] : w.first[i + 1]]
+        rolled[w.first[i]] = mix(np.array([(part * _CODES[: len(part)]).sum() ^ _CODES[100 + len(part)]], U))[0]
     keep = (left >= k) | ((own == 0) & (left < k))
     bounds = np.concatenate([[0], np.cumsum(keep)])[w.first]
     return rolled[keep], bounds
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of a short array."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    with np.errstate(over="ignore"):
-        values, bounds = shingles(words(column), k)
-    return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    values, bounds = shingles(words(column), k)
+    return [distinct(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def texts(column: pa.Array) -> pa.Array:
