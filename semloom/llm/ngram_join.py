@@ -20,6 +20,8 @@ a quarter of the shingles) and the sets of classes in candidate pairs. Prefix en
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +132,7 @@ def _meet(batches):
 
     carry = None  # the last entry, whose successor is still unknown
     last_kept = False
-    for batch in (*batches, None):
+    for batch in chain(batches, [None]):
         if batch is not None and not batch.num_rows:
             continue
         if batch is None:
