@@ -7,6 +7,7 @@ import importlib
 #: name -> module; the function of that name takes (spark, sf_dir), a string SQL in the module is its check.
 _MODULES = {
     "op7_ngram_join": "ngram_join",
+    "op10_toxicity": "toxicity",
 }
 
 
