@@ -6,6 +6,9 @@ import importlib
 
 #: name -> module; the function of that name takes (spark, sf_dir), a string SQL in the module is its check.
 _MODULES = {
+    "op1_personal_data": "pii",
+    "op4_secret_scan": "secrets",
+    "op5_mix_sources": "mixing",
     "op7_ngram_join": "ngram_join",
     "op10_toxicity": "toxicity",
 }

@@ -138,11 +138,13 @@ def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int =
         return None
     df_u = np.bincount(np.concatenate(u), minlength=len(values))
     share_p, share_u = (df_p + 0.5) / (len(p) + 1), (df_u + 0.5) / (len(u) + 1)
-    z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / len(p))
+    expected = len(p) * share_u
+    # Chernoff bound of the chance that so many positives hold the feature by accident, over all features tried
+    evidence = np.where(df_p > expected, df_p * np.log(df_p / expected) - df_p + expected, 0.0)
     prior = min(0.5, max(0.01, n_positive / max(labelled, n_positive)))
     # a feature of toxic texts alone stands in a share of prior * share_p of the unlabelled ones
-    good = np.flatnonzero((share_p > max(2.0, min(0.6 / prior, 6.0)) * share_u) & (z > 3))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")][:max_features])
+    good = np.flatnonzero((share_p > max(2.0, min(0.6 / prior, 6.0)) * share_u) & (evidence > np.log(len(values) / 0.05)))
+    good = np.sort(good[np.argsort(-evidence[good], kind="stable")][:max_features])
     if not len(good):
         return None
     place = np.full(len(values), -1)
