@@ -11,7 +11,8 @@ overlap any set below needs.
 Whole results without all pairs of a group. Equal sets are one class from the start. A first round
 verifies neighbours only (in each prefix group, ordered by size), which joins most copies of a group into
 one component. A second round takes every remaining pair that meets in a prefix and lies in two different
-components. A pair inside one component needs no check, since its link could not change a component. No
+components. A pair inside one component needs no check, since its link could not change a component. A candidate
+pair must share as many prefix members as linked sets of their sizes do, or it goes unverified. No
 group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
 
 Scale. Texts are read once for each of four scans and never shuffled; what moves are prefix entries (about
@@ -276,6 +277,21 @@ def _links(pairs: DataFrame, text: DataFrame, hot: np.ndarray, percent: int) ->
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _enough(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share as many members as those of any linked pair.
+
+    Of the overlap at most ``ceil(t max(n, m)) - 1`` members lie behind the prefix that ends first, so the
+    rest of the least overlap is common to both prefixes.
+    """
+    entries = met.select("token", "cls", "n").distinct()
+    left = pairs.join(entries.select(F.col("cls").alias("a"), "token", F.col("n").alias("n_a")), "a")
+    both = left.join(entries.select(F.col("cls").alias("b"), "token", F.col("n").alias("n_b")), ["b", "token"])
+    counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    least = -F.floor(-percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) + F.lit(1e-9))
+    behind = -F.floor(-percent * F.greatest("n_a", "n_b") / F.lit(100.0) + F.lit(1e-9)) - 1
+    return counted.filter(F.col("k") >= least - behind).select("a", "b")
+
+
 def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Similarity classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, class_id, component_id``, a row per input row.
 
@@ -306,7 +322,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = met.filter(F.col("prev").isNotNull() & possible(F.col("n"), F.col("prev_n"), F.col("pos"), F.col("prev_pos"))).select(*pair(F.col("cls"), F.col("prev"))).distinct()
     near = materialize(near, "near-pairs")
-    first = materialize(_links(near, text, hot, percent), "near-links")
+    first = materialize(_links(materialize(_enough(near, met, percent), "near-candidates"), text, hot, percent), "near-links")
     label = connected_components(first)
 
     at = met.select("token", "cls", "n", "pos").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
@@ -315,7 +331,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     l, r = at.alias("l"), at.alias("r")
     meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
     rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
-    second = _links(materialize(rest, "rest-pairs"), text, hot, percent)
+    second = _links(materialize(_enough(rest, met, percent), "rest-candidates"), text, hot, percent)
     label = connected_components(first.unionByName(second))
 
     named = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
