@@ -344,3 +344,53 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read_table(spark, sf_dir, "documents"))
+
+
+def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each component stays, the one of the smallest doc_id, and all documents without words.
+
+    Of rows that share that doc_id the one of the smallest content hash stays, of identical rows one. A
+    component whose members all lack a doc_id keeps its member of the smallest hash. Kept rows are
+    unchanged.
+    """
+    found = ngram_components(docs).select("doc_id", "class_id", "component_id").filter("class_id is not null")
+    keys = [F.col(c) for c in docs.columns]
+    whole = F.xxhash64(*keys)
+    winners = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("alone")).agg(F.count(F.lit(1)).alias("members"))
+    kept_ids = winners.filter("component_id is not null").select(F.col("component_id").alias("doc_id"))
+    blank = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^ \t-\r]+")) == 0
+    rows = docs.withColumn("__blank", blank).withColumn("__id", F.col("doc_id").cast("long"))
+    empty = rows.filter("__blank")
+    named = rows.filter("not __blank and __id is not null").join(kept_ids.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
+    nameless = rows.filter("not __blank and __id is null")
+    # doc_ids that repeat: few rows, so only theirs are compared
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and __id is not null").select("__id")
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        once = named
+    else:
+        twice = named.join(repeated, "__id", "left_semi").withColumn("__whole", whole)
+        first = twice.groupBy("__id").agg(F.min("__whole").alias("__whole"))
+        once = named.join(repeated, "__id", "left_anti").unionByName(twice.join(first, ["__id", "__whole"], "left_semi").drop("__whole").dropDuplicates(["__id"]))
+    kept = once.unionByName(empty)
+    if not nameless.isEmpty():
+        held = _nameless(nameless, found)
+        kept = kept.unionByName(held)
+    return kept.select(*docs.columns)
+
+
+def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows without a doc_id that stand for their class: those of components in which no member has one."""
+    lone = found.filter("component_id is null").select("class_id").distinct()
+
+    @F.pandas_udf("long")
+    def class_of(text):
+        import pandas as pd
+        import pyarrow as pa
+
+        from .textvec import shingle_sets, texts
+
+        return pd.Series([class_id(s) if len(s) else 0 for s in shingle_sets(texts(pa.array(text, pa.string())))])
+
+    named = rows.withColumn("class_id", class_of(F.col("text").cast("string"))).join(lone, "class_id", "left_semi")
+    return named.dropDuplicates(["class_id"]).drop("class_id")

@@ -7,9 +7,14 @@ import importlib
 #: name -> module; the function of that name takes (spark, sf_dir), a string SQL in the module is its check.
 _MODULES = {
     "op1_personal_data": "pii",
+    "op2_sentencepiece": "sentencepiece",
+    "op3_html_extraction": "html_text",
     "op4_secret_scan": "secrets",
     "op5_mix_sources": "mixing",
+    "op6_top_k": "topk",
     "op7_ngram_join": "ngram_join",
+    "op8_fingerprints": "fingerprints",
+    "op9_license_scan": "licenses",
     "op10_toxicity": "toxicity",
 }
 

@@ -81,7 +81,7 @@ class Codec:
         self.floor = min((self.scores[i] for i in self.usable.values()), default=0.0) - _UNKNOWN_PENALTY
         self.parts = re.compile(self._boundaries())
         self.known = _Known(self)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.spelled: list[bytes] = []
 
     def _boundaries(self) -> str:
@@ -131,7 +131,40 @@ class Codec:
             else:
                 j += 1
 
+    def _only_path(self, part: str) -> list[int] | None:
+        """Of a BPE model: the first piece that can stand at a position is the only one; None if a character has no piece."""
+        n = len(part)
+        last_piece, begins = [-1] * (n + 1), [0] * (n + 1)
+        fits, known = self.fits, self.fits.get
+        for last, (size, i) in self.automaton.iter(part):
+            end = last + 1
+            if last_piece[end] >= 0:
+                continue
+            start = last + 1 - size
+            if start:
+                left = last_piece[start]
+                if left < 0:
+                    return None
+                ok = known(left << 20 | i)
+                if ok is None:
+                    if len(fits) >= _CACHE_PAIRS:
+                        fits.clear()
+                    ok = fits[left << 20 | i] = self._stands(self.pieces[left], self.pieces[i])
+                if not ok:
+                    continue
+            last_piece[end], begins[end] = i, start
+        ids, end = [], n
+        while end:
+            if last_piece[end] < 0:
+                return None
+            ids.append(last_piece[end])
+            end = begins[end]
+        ids.reverse()
+        return ids
+
     def _viterbi(self, part: str) -> list[int]:
+        if self.merges and (ids := self._only_path(part)) is not None:
+            return ids
         n = len(part)
         best: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # start and piece of the best last step; -1: no piece
@@ -146,11 +179,11 @@ class Codec:
             if best[start] is None:
                 continue
             if merges and i >= 0 and start and (left := back[start][1]) >= 0:
-                ok = fits.get((left, i))
+                ok = fits.get(left << 20 | i)
                 if ok is None:
                     if len(fits) >= _CACHE_PAIRS:
                         fits.clear()
-                    ok = fits[left, i] = self._stands(self.pieces[left], self.pieces[i])
+                    ok = fits[left << 20 | i] = self._stands(self.pieces[left], self.pieces[i])
                 if not ok:
                     continue
             score = best[start] + (scores[i] if i >= 0 else self.floor)
