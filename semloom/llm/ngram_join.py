@@ -28,16 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, shuffle_partitions
-from .components import connected_components
-
-#: Shingles in the order table; it only orders, so results do not depend on it.
-ORDER_LIMIT = 100_000
-#: A shingle is frequent if this share of the texts of some stretch of the input holds it.
-FREQUENT = 0.001
+from .components import _forest, connected_components
+
+#: Shingles in the order table, the most frequent ones; it only orders, so results do not depend on it.
+ORDER_LIMIT = 400_000
+#: A shingle is frequent if so many texts of some stretch of a million shingles hold it.
+FREQUENT, STRETCH = 3, 1_000_000
+#: Prefix groups of up to so many classes are joined pair by pair; the classes of larger ones meet in tries, block by block.
+SMALL_GROUP, BLOCK = 48, 512
 #: Bytes of the filter that says which sets may be needed; past its capacity more sets move, none fewer.
 FILTER_BITS = 1 << 24
-SALTS = 16
 _HOT = 1 << 62
+#: Entries of shingles this frequent are dealt out with a salt.
+SALTS, SALTED = 16, _HOT | 10 << 56
 
 
 def _needed(n: int, m: int, percent: int) -> int:
@@ -62,17 +65,17 @@ def _sets(batches):
             yield batch.slice(lo, hi - lo), shingle_sets(column.slice(lo, hi - lo))
 
 
-def _scan_classes(frequent: float):
+def _scan_classes():
     def run(batches):
         """A row (doc_id, n, cls, -1) per text; a row (null, count, shingle, 1) per shingle that is frequent here."""
         import pyarrow as pa
 
-        held, texts_held, size = [], 0, 0
+        held, size = [], 0
         names = ["doc_id", "n", "cls", "kind"]
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(8, frequent * texts_held)
+            often = counts >= FREQUENT
             k = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(counts[often], pa.int64()), pa.array((values[often] >> np.uint64(2)).view(np.int64)), pa.array(np.ones(k, np.int64))], names=names)
 
@@ -80,28 +83,36 @@ def _scan_classes(frequent: float):
             ids = [class_id(s) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.full(len(sets), -1), pa.int64())], names=names)
             held += sets
-            texts_held += len(sets)
             size += sum(map(len, sets))
-            if size > 4_000_000:
+            if size > STRETCH:
                 yield flush()
-                held, texts_held, size = [], 0, 0
+                held, size = [], 0
         if held:
             yield flush()
 
     return run
 
 
-def ordered(members: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def order_table(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles and their values in the global order: by doublings of frequency, then by hash."""
+    level = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), 63)
+    by_hash = np.argsort(shingles)
+    return shingles[by_hash], (_HOT | level << 56 | shingles >> 6)[by_hash]
+
+
+def ordered(members: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A sorted set in the global order, as ascending positive integers: frequent shingles last."""
     v = (members >> np.uint64(2)).view(np.int64)
-    if len(hot):
-        frequent = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+    known, value = order
+    if len(known):
+        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+        frequent = known[at] == v
         if frequent.any():
-            v = np.concatenate([v[~frequent], v[frequent] | _HOT])
+            v = np.concatenate([v[~frequent], np.sort(value[at[frequent]])])
     return v
 
 
-def _scan_prefixes(hot: np.ndarray, percent: int):
+def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int):
     def run(batches):
         import pyarrow as pa
 
@@ -150,7 +161,7 @@ def _meet(batches):
         before = np.concatenate([[last_kept], joined])
         after = np.concatenate([joined, [False]])
         upto = len(token) if batch is None else len(token) - 1
-        keep = (before | after | (token >= _HOT))[:upto]
+        keep = (before | after | (token >= SALTED))[:upto]  # salted groups may go on in another task
         prev = np.concatenate([[0 if carry is None else carry_prev[0]], cls[:-1]])
         prev_n = np.concatenate([[0 if carry is None else carry_prev[1]], n[:-1]])
         prev_pos = np.concatenate([[0 if carry is None else carry_prev[2]], pos[:-1]])
@@ -213,6 +224,83 @@ class Trie:
         return found
 
 
+    def search_many(self, probes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+        """(stored set, probe) numbers of all linked pairs; one traversal carries the overlaps of all probes together."""
+        universe = np.unique(np.concatenate(self.sets))
+        at = [np.minimum(np.searchsorted(universe, p), len(universe) - 1) for p in probes]
+        at = [i[universe[i] == p] for i, p in zip(at, probes, strict=True)]
+        shared = np.unique(np.concatenate(at))
+        place = np.full(len(universe), -1)
+        place[shared] = np.arange(len(shared))
+        out: list[tuple[int, int]] = []
+        step = max(1, 32_000_000 // max(1, len(shared)))
+        rows = [place[np.searchsorted(universe, s)] for s in self.sets]
+        for first in range(0, len(probes), step):
+            part = range(first, min(first + step, len(probes)))
+            held = np.zeros((len(shared), len(part)), np.uint8)
+            for j in part:
+                held[place[at[j]], j - first] = 1
+            sizes = np.array([len(probes[j]) for j in part])
+            stack = [(0, len(self.sets), 0, np.arange(len(part)), np.zeros(len(part), np.int64))]
+            while stack:
+                lo, hi, depth, live, overlap = stack.pop()
+                small, large = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
+                end = min(self.shared[lo : hi - 1], default=len(self.sets[lo]))
+                for a in range(depth, end, 64):  # probes leave along the edge as soon as their bound fails
+                    edge = rows[lo][a : min(a + 64, end)]
+                    overlap = overlap + held[edge[edge >= 0]][:, live].sum(axis=0, dtype=np.int64)
+                    left = np.minimum(sizes[live] - overlap, large - a - len(edge))
+                    keep = overlap + left >= -(-percent * (sizes[live] + small) // (100 + percent))
+                    live, overlap = live[keep], overlap[keep]
+                    if not len(live):
+                        break
+                if not len(live):
+                    continue
+                while lo < hi and len(self.sets[lo]) == end:  # sets that end at this node come first
+                    hits = live[overlap >= -(-percent * (sizes[live] + end) // (100 + percent))]
+                    out += [(self.ids[lo], first + int(j)) for j in hits]
+                    lo += 1
+                    if lo < hi and self.shared[lo - 1] < end:
+                        break
+                start = lo
+                for i in range(lo, hi):
+                    if i == hi - 1 or self.shared[i] <= end:
+                        stack.append((start, i + 1, end, live, overlap))
+                        start = i + 1
+        return out
+
+
+def _blocks(percent: int):
+    def run(batches):
+        """Sorted rows (cluster, block, other block, whether of the other one, class, members): linked pairs of each two blocks."""
+        import pyarrow as pa
+
+        key, ids, sets = None, ([], []), ([], [])
+
+        def flush():
+            left, right = (sets[0], sets[1] if key[1] != key[2] else sets[0])
+            pairs = Trie(left).search_many(right, percent) if left and right else []
+            other = ids[1] if key[1] != key[2] else ids[0]
+            a = np.array([ids[0][i] for i, _ in pairs], np.int64)
+            b = np.array([other[j] for _, j in pairs], np.int64)
+            some = a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for root, i, j, second, cls, members in zip(*cols, batch.column(5), strict=True):
+                if (root, i, j) != key:
+                    if key is not None:
+                        yield flush()
+                    key, ids, sets = (root, i, j), ([], []), ([], [])
+                ids[second].append(cls)
+                sets[second].append(np.frombuffer(members.as_py(), np.int64))
+        if key is not None:
+            yield flush()
+
+    return run
+
+
 def _verify(percent: int, block: int = 256):
     def run(batches):
         """Sorted rows (x, members of x or null, y, members of y): the probe's own row leads its candidates."""
@@ -245,9 +333,9 @@ def _verify(percent: int, block: int = 256):
     return run
 
 
-def _filter_table(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of the classes in candidate pairs, by their low bits: of fixed size, whatever the input's."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(F.pmod("cls", F.lit(FILTER_BITS)).alias("s"))
+def _filter_table(classes: DataFrame) -> np.ndarray:
+    """A bitmap of the needed classes by their low bits: of fixed size, whatever the input's."""
+    slots = classes.select(F.pmod("cls", F.lit(FILTER_BITS)).alias("s"))
     words = slots.groupBy(F.expr("shiftright(s, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
     rows = words.toPandas()
@@ -255,7 +343,7 @@ def _filter_table(pairs: DataFrame) -> np.ndarray:
     return table
 
 
-def _scan_sets(hot: np.ndarray, table: np.ndarray):
+def _scan_sets(hot: tuple[np.ndarray, np.ndarray], table: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
@@ -267,16 +355,36 @@ def _scan_sets(hot: np.ndarray, table: np.ndarray):
     return run
 
 
-def _links(pairs: DataFrame, text: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """Which candidate pairs (a, b) are linked. Only sets in a pair leave the scan; the probe's goes along once."""
-    sets = text.mapInArrow(_scan_sets(hot, _filter_table(pairs)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
-    sets = materialize(sets, "sets")
+def _needed_sets(classes: DataFrame, text: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``cls, members`` of the given classes, from the texts; other sets do not leave the scan."""
+    sets = text.mapInArrow(_scan_sets(hot, _filter_table(classes)), "cls long, members binary")
+    return materialize(sets.groupBy("cls").agg(F.first("members").alias("members")), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Which candidate pairs (a, b) are linked. Rows of a pair carry one set; the probe's goes along once."""
     y = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "members")
     x = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("x"), F.lit(None).cast("long").alias("y"), "members")
     rows = y.unionByName(x).repartition(shuffle_partitions(pairs.sparkSession), "x").sortWithinPartitions(F.col("x"), F.col("y").asc_nulls_first())
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within ``clusters(cls, root)``, whose members are dealt to blocks; each two blocks meet in one task."""
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
+    dealt = clusters.join(sizes, "root").select("root", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls")
+    rows = dealt.join(sets, "cls").select("root", "i", "j", "second", "cls", "members")
+    rows = rows.repartition(shuffle_partitions(clusters.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
+    return rows.mapInArrow(_blocks(percent), "a long, b long").mapInArrow(_forest, "a long, b long")
+
+
 def _enough(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes share as many members as those of any linked pair.
 
@@ -303,13 +411,14 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = materialize(docs.mapInArrow(_scan_classes(FREQUENT), "doc_id long, n long, cls long, kind long"), "classes")
+    scanned = materialize(docs.mapInArrow(_scan_classes(), "doc_id long, n long, cls long, kind long"), "classes")
     rows = scanned.filter("kind < 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"))
     often = scanned.filter("kind > 0").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(ORDER_LIMIT)
-    hot = np.sort(np.array([r[0] for r in often.collect()], np.int64))
+    frequent = often.toPandas()
+    hot = order_table(frequent["cls"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
 
     text = docs.select("text")
-    salt = F.when(F.col("token") >= _HOT, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0))
+    salt = F.when(F.col("token") >= SALTED, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0))
     entries = text.mapInArrow(_scan_prefixes(hot, percent), "token long, cls long, n int, pos int")
     sorted_entries = entries.repartition(shuffle_partitions(spark), "token", salt).sortWithinPartitions("token", salt, "n", "cls").select("token", "cls", "n", "pos")
     met = materialize(sorted_entries.mapInArrow(_meet, "token long, cls long, n int, pos int, prev long, prev_n int, prev_pos int"), "met")
@@ -322,17 +431,23 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = met.filter(F.col("prev").isNotNull() & possible(F.col("n"), F.col("prev_n"), F.col("pos"), F.col("prev_pos"))).select(*pair(F.col("cls"), F.col("prev"))).distinct()
     near = materialize(near, "near-pairs")
-    first = materialize(_links(materialize(_enough(near, met, percent), "near-candidates"), text, hot, percent), "near-links")
+    candidates = materialize(_enough(near, met, percent), "near-candidates")
+    first = materialize(_links(candidates, _needed_sets(_ends(candidates), text, hot), percent), "near-links")
     label = connected_components(first)
 
-    at = met.select("token", "cls", "n", "pos").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 and lo < hi").select("token")
-    at = materialize(at.join(open_, "token", "left_semi"), "open")
-    l, r = at.alias("l"), at.alias("r")
+    at = met.select("token", "cls", "n", "pos").distinct().join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("least_cls")).filter(((F.col("k") > 2) | (F.col("token") >= SALTED)) & (F.col("lo") < F.col("hi")))  # neighbours of groups of two have met
+    at = materialize(at.join(open_.select("token", "k", "least_cls"), "token"), "open")
+    small = at.filter(F.col("k") <= SMALL_GROUP)
+    l, r = small.alias("l"), small.alias("r")
     meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
     rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
-    second = _links(materialize(_enough(rest, met, percent), "rest-candidates"), text, hot, percent)
-    label = connected_components(first.unionByName(second))
+    rest = materialize(_enough(materialize(rest, "rest-pairs"), met, percent), "rest-candidates")
+    in_large = at.filter(F.col("k") > SMALL_GROUP).select(F.col("least_cls").alias("a"), F.col("cls").alias("b")).distinct()
+    clusters = materialize(connected_components(in_large).withColumnRenamed("node", "cls"), "clusters")
+    sets = _needed_sets(_ends(rest).unionByName(clusters.select("cls")), text, hot)
+    second = _links(rest, sets, percent).unionByName(_cluster_links(clusters, sets, percent))
+    label = connected_components(first.unionByName(materialize(second, "second-links")))
 
     named = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     named = materialize(named.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "least", F.coalesce("root", "class_id").alias("root")), "named")
