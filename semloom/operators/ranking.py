@@ -115,12 +115,12 @@ def ranked(df: DataFrame, id_col: str) -> DataFrame:
     Both come from counts per rounded score, which are few, and a window within each: no window over all rows.
     """
     df = df.withColumn("__r", F.bround("score", FLAT_DECIMALS))
-    counts = df.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.orderBy(F.desc("__r"))
+    counts = df.groupBy(F.col("__r").alias("__q")).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy(F.desc("__q"))
     counts = counts.withColumn("run", F.row_number().over(order) - 1).withColumn("__before", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__r").orderBy(F.desc("score"), id_col))
-    joined = df.join(F.broadcast(counts), F.col("__r").eqNullSafe(counts["__r"])).drop(counts["__r"])
-    return joined.withColumn("rank", F.col("__before") + inside).drop("__n", "__before", "__r")
+    joined = df.join(F.broadcast(counts), F.col("__r").eqNullSafe(F.col("__q")))  # a thousand rounded scores at most
+    return joined.withColumn("rank", F.col("__before") + inside).drop("__n", "__before", "__r", "__q")
 
 
 def select_band(df: DataFrame, id_col: str, n: int, anchor: float, seed: int) -> DataFrame:
