@@ -489,8 +489,7 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         once = named.join(repeated, "__id", "left_anti").unionByName(twice.join(first, ["__id", "__whole"], "left_semi").drop("__whole").dropDuplicates(["__id"]))
     kept = once.unionByName(empty)
     if not nameless.isEmpty():
-        held = _nameless(nameless, found)
-        kept = kept.unionByName(held)
+        kept = kept.unionByName(_nameless(nameless, found))
     return kept.select(*docs.columns)
 
 
@@ -507,5 +506,6 @@ def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([class_id(s) if len(s) else 0 for s in shingle_sets(texts(pa.array(text, pa.string())))])
 
-    named = rows.withColumn("class_id", class_of(F.col("text").cast("string"))).join(lone, "class_id", "left_semi")
-    return named.dropDuplicates(["class_id"]).drop("class_id")
+    lone = lone.withColumnRenamed("class_id", "__class")
+    named = rows.withColumn("__class", class_of(F.col("text").cast("string"))).join(lone, "__class", "left_semi")
+    return named.dropDuplicates(["__class"]).drop("__class")

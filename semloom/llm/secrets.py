@@ -154,7 +154,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import pandas as pd
 
     @F.pandas_udf("string")
-    def redact(column: pd.Series) -> pd.Series:
+    def redact(column):
         texts = [t or "" for t in column]
         out = []
         for whole, text, sus in zip(column, texts, suspicious_texts(texts), strict=True):

@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     import pandas as pd
 
     @F.pandas_udf("string")
-    def back(column: pd.Series) -> pd.Series:
+    def back(column):
         c = codec(path)
         return pd.Series([None if x is None else c.decode(list(x)) for x in column], dtype=object)
 
