@@ -283,20 +283,20 @@ def _blocks(percent: int):
             other = ids[1] if key[1] != key[2] else ids[0]
             a = np.array([ids[0][i] for i, _ in pairs], np.int64)
             b = np.array([other[j] for _, j in pairs], np.int64)
-            some = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+            links = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from _forest([links])  # enough to connect them; so no more rows than members leave a block
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
             for root, i, j, second, cls, members in zip(*cols, batch.column(5), strict=True):
                 if (root, i, j) != key:
                     if key is not None:
-                        yield flush()
+                        yield from flush()
                     key, ids, sets = (root, i, j), ([], []), ([], [])
                 ids[second].append(cls)
                 sets[second].append(np.frombuffer(members.as_py(), np.int64))
         if key is not None:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -385,19 +385,17 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return rows.mapInArrow(_blocks(percent), "a long, b long").mapInArrow(_forest, "a long, b long")
 
 
-def _enough(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes share as many members as those of any linked pair.
 
     Of the overlap at most ``ceil(t max(n, m)) - 1`` members lie behind the prefix that ends first, so the
-    rest of the least overlap is common to both prefixes.
+    rest of the least overlap is common to both prefixes. A prefix has no more members than its text has words.
     """
-    entries = met.select("token", "cls", "n").distinct()
-    left = pairs.join(entries.select(F.col("cls").alias("a"), "token", F.col("n").alias("n_a")), "a")
-    both = left.join(entries.select(F.col("cls").alias("b"), "token", F.col("n").alias("n_b")), ["b", "token"])
-    counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    left = pairs.join(prefixes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
+    both = left.join(prefixes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
     least = -F.floor(-percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) + F.lit(1e-9))
     behind = -F.floor(-percent * F.greatest("n_a", "n_b") / F.lit(100.0) + F.lit(1e-9)) - 1
-    return counted.filter(F.col("k") >= least - behind).select("a", "b")
+    return both.filter(F.size(F.array_intersect("t_a", "t_b")) >= least - behind).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -431,18 +429,20 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = met.filter(F.col("prev").isNotNull() & possible(F.col("n"), F.col("prev_n"), F.col("pos"), F.col("prev_pos"))).select(*pair(F.col("cls"), F.col("prev"))).distinct()
     near = materialize(near, "near-pairs")
-    candidates = materialize(_enough(near, met, percent), "near-candidates")
+    entry = F.struct("token", "pos")
+    prefixes = materialize(met.groupBy("cls", "n").agg(F.collect_list(entry).alias("entries")).select("cls", "n", "entries", F.col("entries.token").alias("tokens")), "prefixes")
+    candidates = materialize(_enough(near, prefixes, percent), "near-candidates")
     first = materialize(_links(candidates, _needed_sets(_ends(candidates), text, hot), percent), "near-links")
     label = connected_components(first)
 
-    at = met.select("token", "cls", "n", "pos").distinct().join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    at = prefixes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.inline("entries"))
     open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("least_cls")).filter(((F.col("k") > 2) | (F.col("token") >= SALTED)) & (F.col("lo") < F.col("hi")))  # neighbours of groups of two have met
     at = materialize(at.join(open_.select("token", "k", "least_cls"), "token"), "open")
     small = at.filter(F.col("k") <= SMALL_GROUP)
     l, r = small.alias("l"), small.alias("r")
     meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
     rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
-    rest = materialize(_enough(materialize(rest, "rest-pairs"), met, percent), "rest-candidates")
+    rest = materialize(_enough(materialize(rest, "rest-pairs"), prefixes, percent), "rest-candidates")
     in_large = at.filter(F.col("k") > SMALL_GROUP).select(F.col("least_cls").alias("a"), F.col("cls").alias("b")).distinct()
     clusters = materialize(connected_components(in_large).withColumnRenamed("node", "cls"), "clusters")
     sets = _needed_sets(_ends(rest).unionByName(clusters.select("cls")), text, hot)
