@@ -125,7 +125,7 @@ def chunks(text: Column | str, size: Column | int) -> Column:
     """Contiguous pieces of ``size`` code points; the last one may be shorter; an empty text has one empty piece."""
     text, size = _c(text), F.lit(size) if isinstance(size, int) else size
     count = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, size))
+    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, size)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -135,7 +135,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     def dot(u: Column, v: Column) -> Column:
         return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    value = dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    value = F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
