@@ -382,7 +382,7 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFr
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls")
     rows = dealt.join(sets, "cls").select("root", "i", "j", "second", "cls", "members")
     rows = rows.repartition(shuffle_partitions(clusters.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
-    return rows.mapInArrow(_blocks(percent), "a long, b long").mapInArrow(_forest, "a long, b long")
+    return rows.mapInArrow(_blocks(percent), "a long, b long")
 
 
 def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:

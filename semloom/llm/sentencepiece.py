@@ -29,24 +29,35 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_CACHE_WORDS, _CACHE_PAIRS = 800_000, 1_000_000
+_CACHE_WORDS, _CACHE_PAIRS = 200_000, 300_000
 
 
 class _Known(dict):
-    """Encodings of stretches as packed 32-bit numbers, made when first asked for; dropped as a whole when there are too many."""
+    """Encodings of stretches as packed 32-bit numbers, made when first asked for.
+
+    Two generations of bounded size: when the young one is full it becomes the old one, from which
+    stretches in use come back, so that rare ones go and frequent ones stay.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.codec._viterbi(part)
-        packed = np.array(ids, np.int32).tobytes()
+        packed = self.old.get(part)
+        if packed is None:
+            packed = np.array(self.codec._viterbi(part), np.int32).tobytes()
         if len(part) <= 64:
             if len(self) >= _CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[part] = packed
         return packed
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Codec:
     """Encoder and decoder of one model file."""
@@ -251,6 +262,7 @@ def _encode_batches(path: str):
                 back = [c.decode_packed(b) == t for b, t in zip(packed, texts, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes), ids, pa.array(back)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+        known.forget()  # a worker that goes on to other work holds no words
 
     return run
 

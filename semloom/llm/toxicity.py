@@ -117,7 +117,7 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate:
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int = 3000, max_unlabelled: int = 6000, max_features: int = 512, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int = 2000, max_unlabelled: int = 4000, max_features: int = 512, seed: int = 11) -> Model | None:
     """Fit on ``docs(doc_id, text)`` given the ids of confirmed toxic ones; None if either sample is empty.
 
     ``labelled`` is the number of labelled rows the positives come from: their share is the class prior.
