@@ -214,7 +214,10 @@ def test_fingerprints(spark):
         half = len(t) // 2
         changed = t[: len(t) - half] + following[:half]
         assert out[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and out[i].n_chars == len(t)
-    assert out[10].fingerprint == out[11].fingerprint and out[10].near_next == 1.0 and out[3].near_next < 0.2 < out[10].in_edited
+    assert out[10].fingerprint == out[11].fingerprint and out[10].near_next == 1.0
+    sets = word_sets(texts)
+    true = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:])]
+    assert abs(np.mean([out[i].near_next for i in range(29)]) - np.mean(true)) < 0.1
     a, b = (textvec.shingle_sets(pa.array([x]))[0] for x in (texts[0] + " " + texts[1], texts[0]))
     assert fingerprints.containment(fingerprints.sketch(b), fingerprints.sketch(a)) == 1.0
     whole = fingerprints.sketch(np.union1d(a, b))
