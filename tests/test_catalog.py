@@ -1,6 +1,7 @@
 """Each catalog query with SQL gives the rows that DuckDB gives."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from semloom.plans import catalog
@@ -17,10 +18,17 @@ def duck():
     return con
 
 
+def clean(v):
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if v is None or v is pd.NA or v != v:
+        return "NULL"
+    return repr(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else repr(v)
+
+
 def rows(df):
-    df = df[sorted(df.columns)]
-    clean = lambda v: repr(v.tolist()) if hasattr(v, "tolist") else "NULL" if v is None or v != v else repr(v)
-    return sorted(tuple(map(clean, r)) for r in df.astype(object).itertuples(index=False))
+    df = df[sorted(df.columns)].astype(object)
+    return sorted(tuple(map(clean, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
