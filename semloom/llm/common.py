@@ -71,7 +71,7 @@ def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(column)
 
 
-def per_text(df: DataFrame, keep: list[str], schema: str, rows: Callable[[list[str]], Iterable[tuple]], chunk: int = 1 << 21) -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], schema: str, rows: Callable[[list[str]], Iterable[tuple]], chunk: int = 1 << 20) -> DataFrame:
     """Apply ``rows`` to lists of whole texts (null: empty); its tuples stand beside the columns of ``keep``.
 
     ``rows`` runs once for each few megabytes of text, so a task never holds more than an Arrow batch and

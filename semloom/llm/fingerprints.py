@@ -56,7 +56,7 @@ def sketches(values: list[str]) -> list[np.ndarray]:
 
     out: list[np.ndarray] = []
     column = texts(pa.array(values, pa.string()))
-    for lo, hi in by_bytes(column, 1 << 21):
+    for lo, hi in by_bytes(column, 1 << 19):
         out += [sketch(s) for s in shingle_sets(column.slice(lo, hi - lo))]
     return out
 

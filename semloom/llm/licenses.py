@@ -124,7 +124,7 @@ def _scan(batches):
     schema = pa.schema(list(zip(names, [pa.int64()] * 5 + [pa.string()] * 3 + [pa.float64()], strict=True)))
     for batch in batches:
         column = texts(batch.column(1))
-        for lo, hi in by_bytes(column, 1 << 21):
+        for lo, hi in by_bytes(column, 1 << 19):
             part = column.slice(lo, hi - lo)
             w = words(part, ALNUM)
             rows = []

@@ -61,7 +61,7 @@ def _sets(batches):
 
     for batch in batches:
         column = texts(batch.column(batch.num_columns - 1))
-        for lo, hi in by_bytes(column, 1 << 21):
+        for lo, hi in by_bytes(column, 1 << 19):
             yield batch.slice(lo, hi - lo), shingle_sets(column.slice(lo, hi - lo))
 
 

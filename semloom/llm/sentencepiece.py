@@ -254,7 +254,7 @@ def _encode_batches(path: str):
         c = codec(path)
         known = c.known
         for batch in batches:
-            for lo, hi in by_bytes(batch.column(1), 1 << 21):
+            for lo, hi in by_bytes(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 packed = [b"".join([known[p] for p in c.stretches(t)]) for t in texts]
                 sizes = np.array([len(b) // 4 for b in packed], np.int64)

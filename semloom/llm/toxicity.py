@@ -75,7 +75,7 @@ def _present(table: np.ndarray | None):
         find = Lookup(table) if table is not None else None
         for batch in batches:
             column = texts(batch.column(0))
-            for lo, hi in by_bytes(column, 1 << 21):
+            for lo, hi in by_bytes(column, 1 << 19):
                 values, owners = feature_hashes(column.slice(lo, hi - lo))
                 if find is None:
                     order = np.lexsort((values, owners))
@@ -170,7 +170,7 @@ def _scored(model: Model | None):
         find = Lookup(model.features) if model else None
         for batch in batches:
             column = texts(batch.column(1))
-            for lo, hi in by_bytes(column, 1 << 21):
+            for lo, hi in by_bytes(column, 1 << 19):
                 score = np.zeros(hi - lo)
                 if find:
                     owners, at = find.find(*feature_hashes(column.slice(lo, hi - lo)))
