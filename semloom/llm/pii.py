@@ -13,6 +13,7 @@ aggregated per (pattern, instance) before it moves, and all rounds are grouped s
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ _ANY = re.compile(r"[0-9@]")
 #: Shapes of unseen identifiers: looser than the base patterns, so that context decides.
 _LOOSE_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?|@)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63})*")
 _LOOSE_NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9(](?:[\x20().\-/]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
-_LEFT = re.compile(r"(\S{1,24})[ \t]{0,2}[\"'(]?$")
+LEFT_LENGTH = 24
+_LEFT = re.compile(rf"(\S{{1,{LEFT_LENGTH}}})[ \t]{{0,2}}[\"'(]?$")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +91,28 @@ def left_token(text: str, start: int) -> str | None:
     return m[1].lower() if m else None
 
 
+def token_counts(low: str, wanted: set[str]) -> dict[str, int]:
+    """How often each of the given left tokens stands in a text in lower case: as a token or as the start of one that goes on with another kind of character.
+
+    A left token of full length may be the end of a longer one, so it counts wherever it stands.
+    """
+    counts = dict.fromkeys(wanted, 0)
+    sizes = sorted({len(x) for x in wanted if len(x) < LEFT_LENGTH})
+    long = any(len(x) == LEFT_LENGTH for x in wanted)
+    word = lambda c: c.isalnum() or c == "_"
+    for token, n in Counter(low.split()).items():
+        whole = lambda at: at >= len(token) or not (word(token[at - 1]) and word(token[at]))  # noqa: B023, E731
+        for size in sizes:
+            if size > len(token):
+                break
+            if token[:size] in counts and whole(size):
+                counts[token[:size]] += n
+        for at in range(LEFT_LENGTH, len(token) + 1) if long else ():
+            if token[at - LEFT_LENGTH : at] in counts and whole(at):
+                counts[token[at - LEFT_LENGTH : at]] += n
+    return counts
+
+
 def join_spans(spans) -> str:
     return ",".join(f"{SPAN_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -99,11 +123,17 @@ def _scan(texts):
     for text in texts:
         base = base_spans(text)
         loose = loose_spans(text, base) if base or _ANY.search(text) or "at]" in text or "at)" in text else []
-        low, occ = text.lower() if base or loose else "", []
+        occ = []
         for seed, spans in ((True, base), (False, loose)):
             for s, k, e in spans:
                 if (left := left_token(text, s)) is not None:
-                    occ.append({"kind": k, "seed": seed, "left": left, "instance": text[s:e][:200], "start": s, "end": e, "around": max(1, low.count(left))})
+                    occ.append({"kind": k, "seed": seed, "left": left, "instance": text[s:e][:200], "start": s, "end": e, "around": 0})
+        # how often a pattern stands in the text, once for each kind: at its first occurrence
+        own = Counter((o["kind"], o["left"]) for o in occ)
+        counts = token_counts(text.lower(), {o["left"] for o in occ}) if occ else {}
+        for o in occ:
+            if m := own.pop((o["kind"], o["left"]), 0):
+                o["around"] = max(m, counts[o["left"]])
         n = [sum(k == j for _, k, _ in base) for j in range(4)]
         key = hashlib.md5(text.encode()).hexdigest() if any(not o["seed"] for o in occ) else None
         yield (*n, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(base), key, occ or None)
