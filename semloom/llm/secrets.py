@@ -1,8 +1,9 @@
 """Secret scans: base patterns of the contract, and a token-efficiency test for other random strings.
 
 Method. A run of identifier characters that a byte-pair vocabulary cannot pack into long tokens is
-random: its characters per token stay low, where words, names and paths reach high ratios. Known digests
-(hexadecimal strings of the usual lengths), UUIDs and identifiers made of words are excluded before.
+random: its characters per token stay low, where words, names and paths reach high ratios. In a run that
+is not random as a whole the stretches between words and the parts between separators are tested too. Known
+digests (hexadecimal strings of the usual lengths), UUIDs and identifiers made of words of the vocabulary are excluded.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A run of this many characters with fewer characters per token than RATIO is taken as random.
 MIN_LENGTH = 16
 RATIO = 2.0
+#: Parts with so many characters per token or more are words.
+WORD_RATIO = 3.0
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -30,6 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Lengths in hexadecimal digits of md5, sha1, sha224, sha256, sha384 and sha512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_UUID_PART = re.compile(rf"(?<![0-9A-Za-z]){_UUID.pattern}(?![0-9A-Za-z])")
+_BETWEEN = re.compile(r"[A-Za-z0-9]+")
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -50,30 +55,51 @@ def vocabulary(path: str = VOCABULARY):
     return _encoding[path]
 
 
-def excluded(run: str) -> bool:
-    """Known digests, UUIDs, plain numbers, and identifiers: parts of three letters or more make up most of them."""
-    if len(run) in DIGESTS and _HEX_ONLY.fullmatch(run) or _UUID.fullmatch(run):
-        return True
-    if not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run) and len({c.islower() for c in run if c.isalpha()}) < 2:
-        return True
-    parts = [p for p in _PARTS.findall(run) if p.isalpha()]
-    return sum(len(p) for p in parts if len(p) > 3) > 0.6 * len(run)
+def known(run: str) -> bool:
+    """Known digests, UUIDs and plain numbers."""
+    return bool(len(run) in DIGESTS and _HEX_ONLY.fullmatch(run) or _UUID.fullmatch(run)) or not any(c.isalpha() for c in run)
+
+
+def packed(part: str, path: str) -> bool:
+    """Whether the vocabulary knows a part as words."""
+    return len(part) >= WORD_RATIO * len(vocabulary(path).encode_ordinary(part))
+
+
+def excluded(run: str, path: str) -> bool:
+    """What is known, and identifiers: stretches of four letters or more that the vocabulary knows as words make up most of them."""
+    return known(run) or sum(len(p) for p in _PARTS.findall(run) if p.isalpha() and len(p) > 3 and packed(p, path)) > 0.6 * len(run)
 
 
 def random_runs(text: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """Random runs; of others the random stretches between words, or else the random parts between separators."""
+
+    def test(lo, hi):
+        run = text[lo:hi]
+        return hi - lo >= MIN_LENGTH and len(run) < ratio * len(vocabulary(path).encode_ordinary(run)) and not excluded(run, path)
+
     found = []
     for m in RUN.finditer(text):
         run = m[0].strip(".=-/_+")
-        if len(run) < MIN_LENGTH or excluded(run):
+        if len(run) < MIN_LENGTH or known(run):
             continue
-        if len(run) < ratio * len(vocabulary(path).encode_ordinary(run)):
-            start = m.start() + m[0].index(run)
+        start = m.start() + m[0].index(run)
+        if test(start, start + len(run)):
             found.append((start, start + len(run)))
+            continue
+        stretches: list[list[tuple[int, int]]] = [[]]
+        for p in _BETWEEN.finditer(_UUID_PART.sub(lambda u: "/" * len(u[0]), run)):
+            if packed(p[0], path) or known(p[0]) and len(p[0]) >= MIN_LENGTH:
+                stretches.append([])
+            else:
+                stretches[-1].append((start + p.start(), start + p.end()))
+        for parts in filter(None, stretches):
+            whole = (parts[0][0], parts[-1][1])
+            found += [whole] if test(*whole) else [p for p in parts if test(*p)]
     return found
 
 
 def find_secrets(text: str, suspicious: bool, path: str = VOCABULARY, ratio: float = RATIO) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """Base spans and the method's own as (start, kind, end); ``suspicious`` says whether a long run with a digit or mixed case may stand in the text."""
+    """Base spans and the method's own as (start, kind, end); ``suspicious`` says whether a long run may stand in the text."""
     base = []
     low = text.lower()
     if any(w in low for w in _ASSIGN_WORDS):
@@ -89,12 +115,10 @@ def find_secrets(text: str, suspicious: bool, path: str = VOCABULARY, ratio: flo
 
 
 _RUN_BYTES = byte_class(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"))
-_DIGIT = byte_class(range(48, 58))
-_UPPER = byte_class(range(65, 91))
 
 
 def suspicious_texts(texts: list[str]) -> np.ndarray:
-    """Which texts hold a run of MIN_LENGTH identifier characters with a digit, or a capital after its start, or 24 hexadecimal letters."""
+    """Which texts hold a run of MIN_LENGTH identifier characters."""
     joined = "\n".join(texts).encode()
     data = np.frombuffer(joined, np.uint8)
     out = np.zeros(len(texts), bool)
@@ -104,11 +128,7 @@ def suspicious_texts(texts: list[str]) -> np.ndarray:
     inside[1:-1] = _RUN_BYTES[data]
     start = np.flatnonzero(inside[1:-1] & ~inside[:-2])
     end = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    long = end - start >= MIN_LENGTH
-    start, end = start[long], end[long]
-    digits, upper = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_DIGIT, _UPPER))
-    plain = (digits[end] == digits[start]) & (upper[end] == upper[np.minimum(start + 1, len(data))]) & (end - start < 24)
-    start = start[~plain]
+    start = start[end - start >= MIN_LENGTH]
     bounds = np.cumsum([0] + [len(t.encode()) + 1 for t in texts])
     out[np.searchsorted(bounds, start, "right") - 1] = True
     return out

@@ -155,6 +155,22 @@ def test_secrets(spark):
     assert "abc123" not in red[0].text and red[1].text == "key [SECRET] end" and red[1].n_chars == len(red[1].text)
 
 
+def test_secrets_of_any_alphabet(spark):
+    rng = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    folder, kinds = "home/user/projects/application/config/production/", [upper + "234567", lower + digits, lower, upper, lower + upper]
+    keys = ["".join(rng.choices(k, k=n)) for k in kinds for n in (20, 32) for _ in range(100)]
+    texts = [f"see {before}{k} end" for k in keys for before in ("", folder)]
+    spans = {r.doc_id: r.spans for r in secrets.secret_scan(docs_of(spark, texts)).collect()}
+    for i in range(0, len(keys), 200):
+        for plain in (0, 1):
+            at = 4 + plain * len(folder)
+            found = [spans[2 * j + plain] == f"random:{at}:{at + len(keys[j])}" for j in range(i, i + 200)]
+            assert np.mean(found) > 0.9, (keys[i], plain)
+    words = ["home/user/projects/application/config/production", "CamelCaseIdentifierOfManyWords2", "MAXIMUM_NUMBER_OF_CONNECTIONS", "internationalization", "home/user/projects/application/config/production/1b4e28ba-2fa1-11d2-883f-0016d3cca427/templates"]
+    assert all(secrets.find_secrets(w, True)[1] == [] for w in words)
+
+
 def test_pieces_match_the_library():
     import sentencepiece as library
     from sentencepiece import sentencepiece_model_pb2 as pb
