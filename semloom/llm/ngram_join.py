@@ -11,8 +11,8 @@ overlap any set below needs.
 Whole results without all pairs of a group. Equal sets are one class from the start. A first round
 verifies neighbours only (in each prefix group, ordered by size), which joins most copies of a group into
 one component. A second round takes every remaining pair that meets in a prefix and lies in two different
-components. A pair inside one component needs no check, since its link could not change a component. A candidate
-pair must share as many prefix members as linked sets of their sizes do, or it goes unverified. No
+components, or to count links every remaining pair. For components alone a pair inside one needs no check,
+since its link could not change a component. A candidate pair must share as many prefix members as linked sets of their sizes do, or it goes unverified. No
 group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
 
 Scale. Texts are read once for each of four scans and never shuffled; what moves are prefix entries (about
@@ -270,12 +270,26 @@ class Trie:
         return out
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, count: bool = False):
     def run(batches):
-        """Sorted rows (cluster, block, other block, whether of the other one, class, members): linked pairs of each two blocks."""
+        """Sorted rows (cluster, block, other block, whether of the other one, class, rows of the class, members): links of each two blocks.
+
+        Rows (a, b, null) connect what is linked; with ``count`` a row (a, null, n) says that class a is linked with
+        classes of n rows in all here.
+        """
         import pyarrow as pa
 
-        key, ids, sets = None, ([], []), ([], [])
+        key, ids, sets, weights = None, ([], []), ([], []), ([], [])
+
+        def counted(pairs):
+            for mine, other in ((0, 1), (1, 0)) if key[1] != key[2] else ((0, 0),):
+                n = np.zeros(len(ids[mine]), np.int64)
+                for pair in pairs:  # within a block each pair comes in both orders
+                    x, y = pair[mine], pair[1 - mine]
+                    if mine != other or x != y:
+                        n[x] += weights[other][y]
+                linked = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[mine], np.int64)[linked]), pa.nulls(len(linked), pa.int64()), pa.array(n[linked])], names=["a", "b", "n"])
 
         def flush():
             left, right = (sets[0], sets[1] if key[1] != key[2] else sets[0])
@@ -284,16 +298,20 @@ def _blocks(percent: int):
             a = np.array([ids[0][i] for i, _ in pairs], np.int64)
             b = np.array([other[j] for _, j in pairs], np.int64)
             links = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            yield from _forest([links])  # enough to connect them; so no more rows than members leave a block
+            for forest in _forest([links]):  # enough to connect them; so no more rows than members leave a block
+                yield pa.RecordBatch.from_arrays([*forest.columns, pa.nulls(forest.num_rows, pa.int64())], names=["a", "b", "n"])
+            if count:
+                yield from counted(pairs)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for root, i, j, second, cls, members in zip(*cols, batch.column(5), strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for root, i, j, second, cls, weight, members in zip(*cols, batch.column(6), strict=True):
                 if (root, i, j) != key:
                     if key is not None:
                         yield from flush()
-                    key, ids, sets = (root, i, j), ([], []), ([], [])
+                    key, ids, sets, weights = (root, i, j), ([], []), ([], []), ([], [])
                 ids[second].append(cls)
+                weights[second].append(weight)
                 sets[second].append(np.frombuffer(members.as_py(), np.int64))
         if key is not None:
             yield from flush()
@@ -373,16 +391,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within ``clusters(cls, root)``, whose members are dealt to blocks; each two blocks meet in one task."""
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, count: bool) -> DataFrame:
+    """Links within ``clusters(cls, root, weight)``, whose members are dealt to blocks; each two blocks meet in one task."""
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
-    dealt = clusters.join(sizes, "root").select("root", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls")
-    rows = dealt.join(sets, "cls").select("root", "i", "j", "second", "cls", "members")
+    dealt = clusters.join(sizes, "root").select("root", "cls", "weight", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls", "weight")
+    rows = dealt.join(sets, "cls").select("root", "i", "j", "second", "cls", "weight", "members")
     rows = rows.repartition(shuffle_partitions(clusters.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
-    return rows.mapInArrow(_blocks(percent), "a long, b long")
+    return rows.mapInArrow(_blocks(percent, count), "a long, b long, n long")
+
+
+def _apart(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs that do not lie in one cluster, whose pairs all meet in blocks."""
+    ends = [clusters.select(F.col("cls").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("not (root_a <=> root_b) or root_a is null").select("a", "b")
 
 
 def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -398,9 +422,12 @@ def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("t_a", "t_b")) >= least - behind).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 75, count: bool = False) -> DataFrame:
     """Similarity classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, class_id, component_id``, a row per input row.
 
+    With ``count`` also ``n_links``: with how many other rows a row is linked, those of its own class included.
+    Then every pair that can be linked is verified, inside components too.
+
     ``class_id`` is the same for texts of equal shingle sets; ``component_id`` is the smallest doc_id
     reachable by links. Null or empty texts have no shingles and are linked with nothing: their component
     is their own doc_id, their class null. Rows without a doc_id are members like others but never name a
@@ -436,29 +463,42 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     label = connected_components(first)
 
     at = prefixes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.inline("entries"))
-    open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("least_cls")).filter(((F.col("k") > 2) | (F.col("token") >= SALTED)) & (F.col("lo") < F.col("hi")))  # neighbours of groups of two have met
+    open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("least_cls")).filter(((F.col("k") > 2) | (F.col("token") >= SALTED)) & (F.lit(count) | (F.col("lo") < F.col("hi"))))  # neighbours of groups of two have met
     at = materialize(at.join(open_.select("token", "k", "least_cls"), "token"), "open")
+    in_large = at.filter(F.col("k") > SMALL_GROUP).select(F.col("least_cls").alias("a"), F.col("cls").alias("b")).distinct()
+    clusters = connected_components(in_large).withColumnRenamed("node", "cls")
+    weights = rows.filter("class_id is not null").groupBy(F.col("class_id").alias("cls")).agg(F.count(F.lit(1)).alias("weight")) if count else None
+    clusters = materialize(clusters.join(weights, "cls") if count else clusters.withColumn("weight", F.lit(1).cast("long")), "clusters")
     small = at.filter(F.col("k") <= SMALL_GROUP)
+    if count:
+        small = small.join(clusters.select("cls", F.col("root").alias("cluster")), "cls", "left")
     l, r = small.alias("l"), small.alias("r")
-    meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
+    other = (F.col("l.cls") < F.col("r.cls")) & F.coalesce(F.col("l.cluster") != F.col("r.cluster"), F.lit(True)) if count else F.col("l.comp") < F.col("r.comp")  # pairs of one cluster meet in blocks
+    meets = (F.col("l.token") == F.col("r.token")) & other & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
     rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
     rest = materialize(_enough(materialize(rest, "rest-pairs"), prefixes, percent), "rest-candidates")
-    in_large = at.filter(F.col("k") > SMALL_GROUP).select(F.col("least_cls").alias("a"), F.col("cls").alias("b")).distinct()
-    clusters = materialize(connected_components(in_large).withColumnRenamed("node", "cls"), "clusters")
     sets = _needed_sets(_ends(rest).unionByName(clusters.select("cls")), text, hot)
-    second = _links(rest, sets, percent).unionByName(_cluster_links(clusters, sets, percent))
-    label = connected_components(first.unionByName(materialize(second, "second-links")))
+    found = materialize(_links(rest, sets, percent).withColumn("n", F.lit(None).cast("long")).withColumn("pair", F.lit(True)).unionByName(_cluster_links(clusters, sets, percent, count).withColumn("pair", F.lit(False))), "second-links")
+    second = found.filter("b is not null").select("a", "b")
+    label = connected_components(first.unionByName(second))
 
     named = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     named = materialize(named.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "least", F.coalesce("root", "class_id").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "root").select("class_id", "component_id")
-    linked = rows.join(by_class, "class_id", "left")
-    return linked.select("doc_id", "n_shingles", "class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = ["doc_id", "n_shingles", "class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if count:
+        pairs = _apart(first, clusters).unionByName(found.filter("pair").select("a", "b"))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        numbers = both.join(weights.withColumnRenamed("cls", "b"), "b").select("a", F.col("weight").alias("n")).unionByName(found.filter("n is not null").select("a", "n"))
+        numbers = weights.join(numbers.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n")), "cls", "left")
+        by_class = by_class.join(numbers.select(F.col("cls").alias("class_id"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "class_id")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(by_class, "class_id", "left").select(*out)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read_table(spark, sf_dir, "documents"))
+    return ngram_components(read_table(spark, sf_dir, "documents"), count=True)
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,27 @@ def test_ngram_join_is_exact(spark, monkeypatch, small_group):
     assert [out[i].component_id for i in range(len(texts))] == roots
 
 
+@pytest.mark.parametrize("small_group", [2, 12, 48])
+def test_ngram_join_counts_every_link(spark, monkeypatch, small_group):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", small_group)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = list(EDGE[:6]) + [EDGE[8]] * 3
+    for size in (2, 3, 9, 30, 70):
+        base = rng.choices(words, k=60)
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(60)] = rng.choice(words) + "x"
+            texts.append(" ".join(w))
+    sets = word_sets(texts)
+    wanted = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    out = {r.doc_id: r for r in ngram_join.ngram_components(docs_of(spark, texts), count=True).collect()}
+    assert [out[i].n_links for i in range(len(texts))] == wanted
+    assert [out[i].component_id for i in range(len(texts))] == brute_components(texts)[1]
+
+
 def test_trie_finds_all_pairs():
     rng = random.Random(1)
     sets = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 30)))) for _ in range(80)] + [np.arange(5), np.arange(6), np.arange(5)]
