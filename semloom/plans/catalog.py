@@ -240,6 +240,25 @@ def token_jaccard(spark, sf):
     return d.join(b, "k").select("doc_id", "item_id", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
 
 
+def _meeting(spark, sf):
+    """Whole documents and whole benchmark items that share a token, with ``common``, their numbers of tokens and the document's words.
+
+    The items' tokens are broadcast, so no token gathers its documents in one task; what moves are the pairs.
+    """
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    d = parquet(spark, sf, "documents").select("doc_id", words.alias("words"), X.token_set("text").alias("w"), F.monotonically_increasing_id().alias("row"))
+    b = parquet(spark, sf, "benchmark").select("item_id", X.token_set("text").alias("v"), F.monotonically_increasing_id().alias("item_row"))
+    d = d.select("row", "doc_id", "words", F.size("w").alias("n"), F.explode("w").alias("token"))
+    b = b.select("item_row", "item_id", F.size("v").alias("m"), F.explode("v").alias("token"))
+    return d.join(F.broadcast(b), "token").groupBy("row", "doc_id", "words", "n", "item_row", "item_id", "m").agg(F.count(F.lit(1)).alias("common"))
+
+
+@query(_JACCARD.replace("doc_id % 40 = item_id % 40", "len(list_intersect(d.w, b.w)) > 0"))
+def token_jaccard_all(spark, sf):
+    """Every pair of similarity above 0, where ``token_jaccard`` takes a sample of the pairs."""
+    return _meeting(spark, sf).select("doc_id", "item_id", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("score"))
+
+
 @query(f"SELECT doc_id, len(list_filter(['of the', 'apache license', 'and'], lambda p: contains(' ' || array_to_string({_WORDS_SQL.format('text')}, ' ') || ' ', ' ' || p || ' '))) AS hits FROM documents")
 def phrase_hits(spark, sf):
     return ranking.keyphrases(parquet(spark, sf, "documents"), ["text"], ["of the", "Apache License", "and"]).select("doc_id", F.col("hits").cast("long").alias("hits"))
@@ -272,6 +291,14 @@ def quote_score(spark, sf):
     return d.join(b, "k").select("doc_id", "item_id", F.round(X.quote_score(F.array("span"), "quote"), 6).alias("score"))
 
 
+@query(_QUOTE.replace("substr(d.text, 1, 400)", "d.text").replace("substr(b.text, 1, 200)", "b.text").replace("d.doc_id % 40 = b.item_id % 40", "true") + "WHERE common > 0")
+def quote_score_all(spark, sf):
+    """Every pair of score above 0 from whole texts, where ``quote_score`` takes a sample of the pairs and the heads of the texts."""
+    holds = (F.col("words") <= 60) & (F.col("m") >= 5) & (F.col("common") / F.col("m") >= 0.9)
+    score = F.when(holds, 1.0).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    return _meeting(spark, sf).select("doc_id", "item_id", F.round(score, 6).alias("score"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 173) || ' …[' || format('{:,}', length(text) - 260) || ' chars omitted]… ' || right(text, 87) END AS short FROM documents")
 def truncate_middle(spark, sf):
     return parquet(spark, sf, "documents").select("doc_id", X.truncate_middle("text", 300).alias("short"))
