@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_CACHE_WORDS, _CACHE_PAIRS = 200_000, 300_000
+_CACHE_WORDS, _CACHE_PAIRS = 200_000, 600_000
 
 
 class _Known(dict):
@@ -54,10 +54,6 @@ class _Known(dict):
             self[part] = packed
         return packed
 
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
 
 class Codec:
     """Encoder and decoder of one model file."""
@@ -96,15 +92,17 @@ class Codec:
         self.spelled: list[bytes] = []
 
     def _boundaries(self) -> str:
-        """A pattern of the stretches of a text that no piece crosses: words with the spaces before them, and marks."""
+        """A pattern of the stretches of a text that no piece crosses: words, or marks, with the spaces before them."""
         inner = {a + b for p in self.usable for a, b in zip(p, p[1:])}
         if any(a != SPACE and b == SPACE for a, b in inner):
             return "(?s).+"
-        marks = "".join(re.escape(c) for c in ",.;:!?" if not any(b == c and (a.isalnum() or a == "_") for a, b in inner))
-        if not marks:
+        mixed = [(a, b) for a, b in inner if SPACE not in (a, b) and a.isalnum() != b.isalnum()]
+        odd = {c for pair in mixed for c in pair if c.isalnum()}  # such as a raised 2 before a full stop: marks as well
+        letter = lambda c: c.isalnum() and c not in odd
+        if any(SPACE not in (a, b) and letter(a) != letter(b) for a, b in inner):
             return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        # a mark that follows a word begins a stretch of its own
-        return rf"{SPACE}*\w++(?=[{marks}])|{SPACE}*[^{SPACE}]+|{SPACE}+"
+        other = "".join(map(re.escape, sorted(odd)))
+        return rf"{SPACE}*[^\W_{other}]+|{SPACE}*(?:[^\w{SPACE}]|[_{other}])+|{SPACE}+"
 
     def _grow(self, piece: str) -> bool:
         """Merge a piece's characters by rank; keep what stands at its left and right end, and until which rank."""
@@ -262,7 +260,6 @@ def _encode_batches(path: str):
                 back = [c.decode_packed(b) == t for b, t in zip(packed, texts, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes), ids, pa.array(back)], names=["doc_id", "n_tokens", "ids", "round_trip"])
-        known.forget()  # a worker that goes on to other work holds no words
 
     return run
 
