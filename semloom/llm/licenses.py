@@ -7,6 +7,7 @@ such seed the regex library's bounded-error matching verifies the edits and repo
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -75,24 +76,30 @@ def fold(text: str) -> str:
 
 
 def find_notices(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of the notices in a lower-cased text, in code points; of each notice the best at each place."""
+    """(start, end, label, edits) of the notices in a lower-cased text, in code points; of each notice the best at each place.
+
+    Every seed's window is verified on its own: a place lies whole in the window of any piece it holds unchanged.
+    Of places of one notice that overlap the one of fewest edits stays, the first of equal ones.
+    """
     automaton, patterns = _search(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: set[tuple[int, int, int]] = set()
     for last, (size, uses) in automaton.iter(text):
         start = last + 1 - size
         for number, at in uses:
             k = patterns[number][0]
-            lo, hi = max(0, start - at - k), start - at + len(notices[number][0]) + k
-            held = windows.setdefault(number, [])
-            if held and lo <= held[-1][1]:
-                held[-1][0], held[-1][1] = min(lo, held[-1][0]), max(hi, held[-1][1])
-            else:
-                held.append([lo, hi])
+            windows.add((number, max(0, start - at - k), min(len(text), start - at + len(notices[number][0]) + k)))
+    places: dict[int, set[tuple[int, int, int]]] = {}
+    for number, lo, hi in windows:
+        if m := patterns[number][1].search(text, lo, hi):
+            places.setdefault(number, set()).add((sum(m.fuzzy_counts), m.start(), m.end()))
     found = []
-    for number, spans in windows.items():
-        for lo, hi in spans:
-            for m in patterns[number][1].finditer(text, lo, min(hi, len(text))):
-                found.append((m.start(), m.end(), notices[number][1], sum(m.fuzzy_counts)))
+    for number, spans in places.items():
+        taken: list[tuple[int, int]] = []  # disjoint, in order
+        for edits, start, end in sorted(spans):
+            at = bisect_left(taken, (end,))
+            if not at or taken[at - 1][1] <= start:
+                taken.insert(at, (start, end))
+                found.append((start, end, notices[number][1], edits))
     return sorted(found)
 
 
