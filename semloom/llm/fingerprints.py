@@ -23,7 +23,7 @@ from .common import by_bytes, read_table, shuffle_partitions
 from .textvec import shingle_sets, texts
 
 #: One shingle in FRACTION is kept.
-FRACTION = 8
+FRACTION = 4
 _BELOW = np.uint64((1 << 64) // FRACTION - 1)
 
 
@@ -151,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     is_head = key.isin(list(before))
     mine = placed.select("r", "doc_id", "text", F.lit(True).alias("mine"), F.lit(0).alias("late"))
     guests = placed.filter(is_head).groupBy("doc_id").agg(F.min("text").alias("text")).select(lookup[key].alias("r"), "doc_id", "text", F.lit(False).alias("mine"), (key == wrap).cast("int").alias("late"))
-    dealt = mine.unionByName(guests).repartition(parts, "r").sortWithinPartitions("r", "late", F.col("doc_id").asc_nulls_first(), F.desc("mine"), "text")
+    dealt = mine.unionByName(guests).repartitionById(parts, "r").sortWithinPartitions("r", "late", F.col("doc_id").asc_nulls_first(), F.desc("mine"), "text")
     return dealt.select("r", "doc_id", "text", "mine").mapInArrow(_in_order, _SCHEMA)
 
 
