@@ -70,7 +70,7 @@ def threshold_algorithm(queries: np.ndarray, query_ids: np.ndarray, rows: np.nda
     return q, row_ids[best_row[q, c]], best_score[q, c].astype(np.int64)
 
 
-def _pair_of_blocks(dims: int, k: int):
+def _pair_of_blocks(k: int):
     def run(key, left, right):
         import pyarrow as pa
 
@@ -80,7 +80,7 @@ def _pair_of_blocks(dims: int, k: int):
 
         def matrix(table):
             flat = table.column("q").combine_chunks()
-            return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
         ids, vecs = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         q, rows, scores = threshold_algorithm(matrix(left), ids, matrix(right), vecs, k)
@@ -94,8 +94,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     ``every`` its k highest integer inner products among all other rows, ties to smaller ids.
 
     Rows whose vector is null, empty or holds a null, NaN or infinite component take no part, nor do rows
-    without an id; of vectors of several lengths those of the most frequent length do (the longest of
-    equally frequent ones). Products are formed in doubles, exact while their parts' sums stay below 2**53,
+    without an id. Vectors of another length have no product with a query, so each length is searched among its
+    own rows. Products are formed in doubles, exact while their parts' sums stay below 2**53,
     as for components up to 10**5 in size. Exactly repeated rows count once, and rows of a query's own id are never its
     candidates. Fewer candidates give fewer rows; an empty table gives an empty one.
     """
@@ -105,21 +105,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = materialize(vectors.filter(good).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("q")).distinct(), "vectors")
-    lengths = rows.groupBy(F.size("q").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long")).alias("queries"))
-    most = lengths.orderBy(F.desc("n"), F.desc("dims")).first()
+    n, n_queries = rows.agg(F.count(F.lit(1)), F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long"))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if most is None or not most["queries"]:
+    if not n_queries:
         return empty
-    dims, n, n_queries = most
-    rows = rows.filter(F.size("q") == dims)
+    rows = rows.withColumn("dims", F.size("q"))
     n_row_blocks, n_query_blocks = parts_for(n, ROWS_IN_BLOCK), parts_for(n_queries, QUERIES_IN_BLOCK)
     if n_row_blocks * n_query_blocks < shuffle_partitions(spark):
         n_row_blocks = max(n_row_blocks, min(shuffle_partitions(spark), parts_for(n, 1024)))
     block = lambda m, s: F.pmod(F.xxhash64(F.lit(s), "vec_id"), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "q", block(n_query_blocks, 1).alias("qb"), spread(n_row_blocks).alias("rb"))
-    others = rows.select("vec_id", "q", block(n_row_blocks, 2).alias("rb"), spread(n_query_blocks).alias("qb"))
-    found = queries.groupBy("qb", "rb").cogroup(others.groupBy("qb", "rb")).applyInArrow(_pair_of_blocks(dims, k), "query_id long, vec_id long, score long")
+    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "q", "dims", block(n_query_blocks, 1).alias("qb"), spread(n_row_blocks).alias("rb"))
+    others = rows.select("vec_id", "q", "dims", block(n_row_blocks, 2).alias("rb"), spread(n_query_blocks).alias("qb"))
+    found = queries.groupBy("dims", "qb", "rb").cogroup(others.groupBy("dims", "qb", "rb")).applyInArrow(_pair_of_blocks(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -134,7 +132,7 @@ WITH good AS (
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
-  FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
 ), ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
 )
