@@ -31,8 +31,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a run of digits that fai
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-#: Shapes of unseen identifiers: looser than the base patterns, so that context decides.
-_LOOSE_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?|@)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63})*")
+#: Shapes of unseen identifiers: looser than the base patterns, so that context decides. A mailbox name has 64 characters
+#: and a label of a domain 63 at most, as in the standards; a number has 7 to 25 digits. A pattern is a token of up to 24 characters.
+_LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?|@)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63})*")
 _LOOSE_NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9(](?:[\x20().\-/]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
 LEFT_LENGTH = 24
 _LEFT = re.compile(rf"(\S{{1,{LEFT_LENGTH}}})[ \t]{{0,2}}[\"'(]?$")
@@ -127,7 +128,7 @@ def _scan(texts):
         for seed, spans in ((True, base), (False, loose)):
             for s, k, e in spans:
                 if (left := left_token(text, s)) is not None:
-                    occ.append({"kind": k, "seed": seed, "left": left, "instance": text[s:e][:200], "start": s, "end": e, "around": 0})
+                    occ.append({"kind": k, "seed": seed, "left": left, "instance": text[s:e] if e - s <= 64 else hashlib.md5(text[s:e].encode()).hexdigest(), "start": s, "end": e, "around": 0})
         # how often a pattern stands in the text, once for each kind: at its first occurrence
         own = Counter((o["kind"], o["left"]) for o in occ)
         counts = token_counts(text.lower(), {o["left"] for o in occ}) if occ else {}
@@ -160,7 +161,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id``, counts of base matches, the digest of base spans and all spans, for each row of ``docs(doc_id, text)``.
 
     ``spans`` lists kind:start:end in code points, by start and then kind; kinds of spans that context
-    found begin with ``ctx_``. Null and empty texts have no spans. Texts are scanned whole, however long;
+    found begin with ``ctx_``, and ``n_spans`` counts them all. Null and empty texts have no spans. Texts are scanned whole, however long;
     repeated rows give equal rows (their spans come from the text alone); a null doc_id is kept. An
     empty table gives an empty one; other columns are not looked at.
     """
@@ -181,7 +182,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     plain = scanned.filter("key is null").select(*out, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_context"))
     joined = scanned.filter("key is not null").join(found, "key", "left")
     rest = joined.select(*out, F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_join(merged, ",")).alias("spans"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_context"))
-    return plain.unionByName(rest)
+    both = plain.unionByName(rest)
+    return both.withColumn("n_spans", F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_context"))
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
