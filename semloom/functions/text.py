@@ -110,6 +110,14 @@ def truncate_middle(text: Column | str, allowance: int) -> Column:
     return F.when(F.length(text) <= allowance, text).otherwise(cut)
 
 
+def truncate_content(text: str, most: int) -> str:
+    """Half from the head and half from the tail of a long output, with a mark between."""
+    if len(text) <= most:
+        return text
+    half = most // 2
+    return f"{text[:half]}\n... {len(text) - 2 * half} characters left out ...\n{text[len(text) - half :]}"
+
+
 def text_columns(df: DataFrame, id_col: str) -> list[str]:
     """Columns that are no numbers, booleans or the id."""
     return [f.name for f in df.schema.fields if f.name != id_col and not isinstance(f.dataType, T.NumericType | T.BooleanType)]

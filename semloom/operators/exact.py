@@ -16,11 +16,35 @@ def condition(predicate: Column | str) -> Column:
     return F.expr(predicate) if isinstance(predicate, str) else predicate
 
 
+def reads(call: Callable, columns: Sequence[str]) -> list[str]:
+    """The columns a callable can read: those whose names its code spells, or all if it takes the row as a whole.
+
+    A callable that hands its row on, loops over it or makes up names may read any.
+    """
+    code = getattr(call, "__code__", None)
+    if code is None or code.co_freevars or code.co_argcount != 1:
+        return list(columns)
+    import dis
+
+    row, steps = code.co_varnames[0], [i for i in dis.get_instructions(code) if i.opname not in ("CACHE", "RESUME", "NOT_TAKEN", "COPY_FREE_VARS")]
+    names = []
+    for this, following, then in zip(steps, [*steps[1:], None], [*steps[2:], None, None]):
+        if row not in (this.argval if isinstance(this.argval, tuple) else (this.argval,)) or not this.opname.startswith("LOAD_FAST"):
+            if any(getattr(c, "co_code", None) for c in (this.argval,)):
+                return list(columns)  # an inner function may read the row
+            continue
+        spelled = this.opname in ("LOAD_FAST", "LOAD_FAST_BORROW") and following and following.opname == "LOAD_CONST" and then and (then.opname == "BINARY_SUBSCR" or then.opname == "BINARY_OP" and then.argrepr == "[]")
+        if not spelled or following.argval not in columns:
+            return list(columns)
+        names.append(following.argval)
+    return list(dict.fromkeys(names)) or list(columns)
+
+
 def tested(df: DataFrame, predicate: Column | str | Callable[[dict], Any]) -> Column:
-    """A predicate as struct(ok, error): SQL nulls are false; a callable runs on whole rows in Arrow batches."""
+    """A predicate as struct(ok, error): SQL nulls are false; a callable runs on the columns it names in Arrow batches."""
     if not callable(predicate) or isinstance(predicate, Column):
         return F.struct(F.coalesce(condition(predicate), F.lit(False)).alias("ok"), F.lit(None).cast("string").alias("error"))
-    names = df.columns
+    names = reads(predicate, df.columns)
 
     def run(*values):
         try:
@@ -31,27 +55,48 @@ def tested(df: DataFrame, predicate: Column | str | Callable[[dict], Any]) -> Co
     return F.udf(run, "struct<ok: boolean, error: string>", useArrow=True)(*[F.col(f"`{c}`") for c in names])
 
 
-def filter_rows(df: DataFrame, predicate: Column | str | Callable[[dict], Any]) -> DataFrame:
+Watch = Callable[[DataFrame, Column, Column], DataFrame]
+
+
+def filter_rows(df: DataFrame, predicate: Column | str | Callable[[dict], Any], watch: Watch | None = None) -> DataFrame:
+    """Rows for which a predicate holds; ``watch`` sees all rows, which of them pass and their errors."""
     if callable(predicate) and not isinstance(predicate, Column):
-        return df.filter(tested(df, predicate)["ok"])
+        name = _free(df, "__t")
+        marked = df.withColumn(name, tested(df, predicate))
+        if watch:
+            marked = watch(marked, F.col(f"{name}.ok"), F.col(f"{name}.error"))
+        return marked.filter(F.col(f"{name}.ok")).drop(name)
+    if watch:
+        df = watch(df, F.coalesce(condition(predicate), F.lit(False)), F.lit(None).cast("string"))
     return df.filter(condition(predicate))
 
 
-def map_rows(df: DataFrame, columns: dict[str, Column | str] | Callable[[dict], dict], cols: Sequence[dict[str, str]] = ()) -> DataFrame:
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, columns: dict[str, Column | str] | Callable[[dict], dict], cols: Sequence[dict[str, str]] = (), watch: Watch | None = None) -> DataFrame:
     if isinstance(columns, dict):
+        if watch:
+            df = watch(df, F.lit(True), F.lit(None).cast("string"))
         return df.withColumns({n: condition(e) for n, e in columns.items()})
-    names, made = df.columns, [(c["name"], KINDS[c.get("type", "str")]) for c in cols]
+    names, made = reads(columns, df.columns), [(c["name"], KINDS[c.get("type", "str")]) for c in cols]
 
     def run(*values):
         try:
             got = columns(dict(zip(names, values, strict=True)))
-            return {"ok": True, "value": {n: got.get(n) for n, _ in made}}
-        except Exception:  # noqa: BLE001  the row is dropped
-            return {"ok": False, "value": None}
-
-    kind = f"struct<ok: boolean, value: struct<{', '.join(f'`{n}`: {t}' for n, t in made)}>>"
-    out = df.withColumn("__m", F.udf(run, kind, useArrow=True).asNondeterministic()(*[F.col(f"`{c}`") for c in names]))
-    return out.filter("__m.ok").select(*[F.col(f"`{c}`") for c in names], *[F.col(f"__m.value.`{n}`").alias(n) for n, _ in made])
+            return {"error": None, "value": {n: got.get(n) for n, _ in made}}
+        except Exception as e:  # noqa: BLE001  the row is dropped and its error kept
+            return {"error": f"{type(e).__name__}: {e}"[:300], "value": None}
+
+    kind = f"struct<error: string, value: struct<{', '.join(f'`{n}`: {t}' for n, t in made)}>>"
+    name = _free(df, "__m")
+    out = df.withColumn(name, F.udf(run, kind, useArrow=True).asNondeterministic()(*[F.col(f"`{c}`") for c in names]))
+    if watch:
+        out = watch(out, F.col(f"{name}.error").isNull(), F.col(f"{name}.error"))
+    return out.filter(F.col(f"{name}.error").isNull()).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{name}.value.`{n}`").alias(n) for n, _ in made])
 
 
 def joined_names(left: Sequence[str], right: Sequence[str]) -> dict[str, str]:

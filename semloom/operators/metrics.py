@@ -45,6 +45,33 @@ def token_cost_joined(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.withColumn("cost", cost / 1e6).drop("__t")
 
 
+def long_prompt_tier(prices: list[Price]) -> int | None:
+    """The lowest number of prompt tokens above which any of the prices rises."""
+    return min((p.tier for p in prices if p.tier is not None), default=None)
+
+
+def attributed(delta: float, plans: list[str]) -> dict[str, float]:
+    """A step's cost split evenly over the plans it touched."""
+    return {p: delta / len(set(plans)) for p in dict.fromkeys(plans)}
+
+
+def scaled_tokens(tokens: int, subset_rows: int, dataset_rows: int) -> int:
+    """Tokens that a prompt over all rows of a subset takes over all rows of its table."""
+    return -(-tokens * dataset_rows // subset_rows) if subset_rows else 0
+
+
+def spread_over(rows: DataFrame, key: list[str], measures: list[str]) -> DataFrame:
+    """Figures of one call that made several rows, divided evenly over them."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    return rows.withColumns({m: F.col(m) / n for m in measures})
+
+
+def results_summary(rows: DataFrame, by: str, measures: dict[str, int]) -> DataFrame:
+    """Per kind of operator: ``n``, and the rounded sum and mean of each measure, given with its decimals."""
+    aggs = [F.round(g(m), d).alias(f"{m}_{name}") for m, d in measures.items() for name, g in (("sum", F.sum), ("mean", F.avg))]
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
 def long_prompt_warnings(df: DataFrame, length: Column, tokens_per_char: float, tier: int, share: float = 0.8) -> DataFrame:
     """Rows whose estimated prompt comes within ``share`` of a long-prompt tier."""
     return df.withColumn("est_tokens", F.ceil(length * tokens_per_char).cast("long")).filter(F.col("est_tokens") >= share * tier)

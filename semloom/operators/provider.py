@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import read_answer, verdict
+from ..functions.answers import read_answer, type_label, verdict
 
 KINDS = {"str": "string", "int": "long", "float": "double", "bool": "boolean", "list[str]": "array<string>", "list[int]": "array<long>"}
 
@@ -36,14 +36,28 @@ class Task:
 
 
 class Provider(Protocol):
-    def answer(self, df: DataFrame, task: Task, out: str) -> DataFrame:
-        """``df`` with a column ``out`` of ``task.answer_type()``."""
+    #: Whether answers cost something or may differ when asked again: then no plan step is run twice.
+    costly: bool
 
+    def answer(self, df: DataFrame, task: Task, out: str, ask: Column | None = None) -> DataFrame:
+        """``df`` with a column ``out`` of ``task.answer_type()``; rows for which ``ask`` is not true get null fields unasked."""
 
-def prompt(task: Task) -> Column:
-    """The prompt as text: the instruction, the wanted fields and the row's inputs."""
-    wanted = "".join(f"\n{n} ({t}): {d}" for n, t, d in task.outputs)
-    parts = [F.lit(f"{task.instruction}{wanted}")]
+
+#: Prompts of models that reason are sent with this effort unless the task or the provider says otherwise.
+DEFAULT_EFFORT = "low"
+
+
+def fill(text: str, placeholders: Mapping[str, object]) -> str:
+    """Every placeholder in a prompt replaced by its value, longer ones first."""
+    for name in sorted(placeholders, key=len, reverse=True):
+        text = text.replace(name, str(placeholders[name]))
+    return text
+
+
+def prompt(task: Task, placeholders: Mapping[str, object] | None = None) -> Column:
+    """The prompt as text: the instruction, the wanted fields and the row's inputs; placeholders are filled in the first two."""
+    wanted = "".join(f"\n{n}{type_label(t)}: {d}" for n, t, d in task.outputs)
+    parts = [F.lit(fill(f"{task.instruction}{wanted}", placeholders or {}))]
     parts += [F.concat(F.lit(f"\n{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in task.depends_on]
     return F.concat(*parts)
 
@@ -55,10 +69,12 @@ class RuleProvider:
     A null answer of a filter is one that could not be read.
     """
 
+    costly = False
+
     def __init__(self, rules: Mapping[str, Callable[[Callable[[str], Column]], Column]]):
         self.rules = dict(rules)
 
-    def answer(self, df: DataFrame, task: Task, out: str) -> DataFrame:
+    def answer(self, df: DataFrame, task: Task, out: str, ask: Column | None = None) -> DataFrame:
         def read(name: str) -> Column:
             if task.depends_on and name not in task.depends_on:
                 raise ValueError(f"the rule reads {name}, which the task does not depend on")
@@ -72,28 +88,50 @@ class RuleProvider:
             value, error = F.struct(passed.alias("passed")), F.when(passed.isNull(), F.lit("no verdict"))
         chars = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in task.depends_on), F.lit(len(task.instruction)))
         answered = F.struct(value.alias("value"), error.alias("error"), F.ceil(chars / 4).cast("long").alias("tokens_in"), F.lit(4 * max(1, len(task.outputs))).cast("long").alias("tokens_out"))
-        return df.withColumn(out, answered)
+        return df.withColumn(out, answered if ask is None else F.when(ask, answered))
 
 
 class CallProvider:
     """Answers from ``call(prompts) -> [(text, tokens_in, tokens_out)]`` on batches inside the executors.
 
-    The stage is marked as not deterministic, so Spark never duplicates it in a plan; callers persist or
-    write its result before using it twice. A raised error becomes the row's error, not the job's.
+    The stage is marked as not deterministic, so Spark never duplicates it in a plan; the plan's lowering keeps
+    its result where it is read twice. A raised error becomes the row's error, not the job's. A call that
+    takes ``options`` also gets the model, its reasoning effort (for models named in ``reasoning``) and, if
+    the task depends on image columns, the bytes of each prompt's images.
     """
 
-    def __init__(self, call: Callable[[Sequence[str]], Sequence[tuple[str, int, int]]], batch: int = 64):
-        self.call, self.batch = call, batch
+    costly = True
+
+    def __init__(self, call: Callable[..., Sequence[tuple[str, int, int]]], batch: int = 64, placeholders: Mapping[str, object] | None = None, reasoning: Sequence[str] = (), effort: str | None = None):
+        self.call, self.batch, self.placeholders, self.reasoning, self.effort = call, batch, dict(placeholders or {}), tuple(reasoning), effort
+
+    def options(self, task: Task) -> dict[str, object]:
+        """What a call is told besides its prompts."""
+        held: dict[str, object] = {"model": task.model}
+        if task.model in self.reasoning:
+            held["effort"] = task.options.get("effort") or self.effort or DEFAULT_EFFORT
+        return held
+
+    def answer(self, df: DataFrame, task: Task, out: str, ask: Column | None = None) -> DataFrame:
+        import inspect
 
-    def answer(self, df: DataFrame, task: Task, out: str) -> DataFrame:
         import pandas as pd
 
-        call, size = self.call, self.batch
+        size, options = self.batch, self.options(task)
+        takes_options = "options" in inspect.signature(self.call).parameters
+        pictures = [c for c in task.depends_on if df.schema[c].metadata.get("modality") == "image" and df.schema[c].dataType.simpleString() == "binary"]
+        function = self.call
+
+        def call(prompts: Sequence[str], images: Sequence[Sequence[bytes]]) -> Sequence[tuple[str, int, int]]:
+            return function(prompts, options=options | ({"images": list(images)} if pictures else {})) if takes_options else function(prompts)
+
         columns = {n: t for n, t, _ in task.outputs}
 
-        def ask(prompts: Sequence[str]) -> list[tuple]:
+        def asked(prompts: Sequence[str], images: Sequence[Sequence[bytes]]) -> list[tuple]:
             try:
-                answers = list(call(prompts))
+                answers = list(call(prompts, images))
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
             except Exception as e:  # noqa: BLE001  a failed request is a result of this row
                 return [(None, f"{type(e).__name__}: {e}"[:300], 0, 0)] * len(prompts)
             rows = []
@@ -102,11 +140,19 @@ class CallProvider:
                 rows.append((value, None if value is not None else f"unreadable answer: {text!r}"[:300], tokens_in, tokens_out))
             return rows
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for prompts in batches:
-                rows = [r for k in range(0, len(prompts), size) for r in ask(prompts.iloc[k : k + size].tolist())]
+        def run(batches: Iterator) -> Iterator[pd.DataFrame]:
+            for batch in batches:  # a lone column comes by itself
+                prompts, *images = batch if isinstance(batch, tuple) else (batch,)
+                wanted = [i for i, p in enumerate(prompts) if p is not None]
+                rows: list[tuple] = [(None, None, None, None)] * len(prompts)
+                for k in range(0, len(wanted), size):
+                    part = wanted[k : k + size]
+                    for i, row in zip(part, asked([prompts.iloc[i] for i in part], [[c.iloc[i] for c in images if c.iloc[i] is not None] for i in part]), strict=True):
+                        rows[i] = row
                 empty = dict.fromkeys(columns or ["passed"])
                 yield pd.DataFrame({"value": [v or empty for v, *_ in rows], "error": [e for _, e, *_ in rows], "tokens_in": [i for *_, i, _ in rows], "tokens_out": [o for *_, o in rows]})
 
         udf = F.pandas_udf(run, task.answer_type(), functionType=F.PandasUDFType.SCALAR_ITER).asNondeterministic()
-        return df.withColumn(out, udf(prompt(task)))
+        words = Task(task.kind, task.instruction, task.outputs, tuple(c for c in task.depends_on if c not in pictures))
+        text = prompt(words, self.placeholders)
+        return df.withColumn(out, udf(text if ask is None else F.when(ask, text), *[F.col(f"`{c}`") for c in pictures]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,38 +22,88 @@ def query_tokens(query: str) -> list[str]:
     return re.findall("[a-z0-9]+", query.lower())
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column | str, query: str, per: Sequence[str] = ()) -> DataFrame:
-    """``docs`` with a column ``bm25``: Okapi scores of the query over the corpus, or over each group of ``per``.
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name that none of the given ones clashes with."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
+def _raw(n: Column | float, df: Column | float) -> Column:
+    n, df = (x if isinstance(x, Column) else F.lit(float(x)) for x in (n, df))
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _part(weight: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+    return F.coalesce(F.try_divide(weight * tf * (K1 + 1), tf + K1 * (1 - B + B * F.try_divide(dl, avgdl))), F.lit(0.0))
+
+
+def bm25(docs: DataFrame, text: Column | str, query: str, out: str = "bm25") -> DataFrame:
+    """``docs`` with a column ``out``: Okapi scores of the query over all rows, each row a document of its own.
 
     A term in more than half of the documents has a negative weight and gets EPSILON of the mean weight of
-    the vocabulary instead. Repeated query words count as often. One pass over the texts makes the
-    (document, term) table; all statistics are grouped sums of it, and only rows of query terms are joined.
+    the vocabulary instead. Repeated query words count as often. One aggregate over the texts, which shuffles
+    nothing, gives the number of documents, their mean length and the counts of the query's terms; the
+    vocabulary is counted only if such a frequent term asks for its mean. Then every row scores itself, so ids
+    play no part: repeated and null ids, and a column of the same name, do no harm.
     """
     text = F.col(text) if isinstance(text, str) else text
     wanted = query_tokens(query)
-    if not wanted:
-        return docs.withColumn("bm25", F.lit(0.0))
-    keys = [*per]
-    words = docs.select(*keys, id_col, tokens(F.coalesce(text, F.lit(""))).alias("__words"))
-    lengths = words.select(*keys, id_col, F.size("__words").alias("dl"))
-    terms = words.select(*keys, id_col, F.explode("__words").alias("term")).groupBy(*keys, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    size = lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    joined = df_.join(F.broadcast(size)) if not keys else df_.join(size, keys)
-    weighted = joined.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = weighted.groupBy(*keys).agg(F.avg("raw").alias("mean"))
-    multiplicity = {t: wanted.count(t) for t in wanted}
-    times = F.create_map(*[F.lit(x) for pair in multiplicity.items() for x in pair])
-    asked = weighted.filter(F.col("term").isin(list(multiplicity)))
-    asked = asked.join(F.broadcast(mean)) if not keys else asked.join(mean, keys)
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    asked = asked.select(*keys, "term", "avgdl", (idf * times[F.col("term")]).alias("weight"))
-    hits = terms.filter(F.col("term").isin(list(multiplicity)))
-    hits = hits.join(F.broadcast(asked), [*keys, "term"]) if not keys else hits.join(asked, [*keys, "term"])
-    hits = hits.join(lengths, [*keys, id_col])
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(*keys, id_col).agg(F.sum(part).alias("bm25"))
-    return docs.join(scores, [*keys, id_col], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    terms = list(dict.fromkeys(wanted))
+    if not terms:
+        return docs.withColumn(out, F.lit(0.0))
+    held = fresh(docs.columns, "__words")
+    words = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("w"))
+    counts = [F.count_if(F.array_contains("w", t)).alias(f"d{i}") for i, t in enumerate(terms)]
+    n, avgdl, *dfs = words.agg(F.count(F.lit(1)), F.avg(F.size("w")), *counts).first()
+    weights = {t: math.log(n - df + 0.5) - math.log(df + 0.5) for t, df in zip(terms, dfs, strict=True) if df}
+    if not weights:
+        return docs.withColumn(out, F.lit(0.0))
+    if min(weights.values()) < 0:
+        vocabulary = words.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+        mean = vocabulary.agg(F.avg(_raw(n, F.col("df")))).first()[0]
+        weights = {t: EPSILON * mean if raw < 0 else raw for t, raw in weights.items()}
+    parts = [_part(F.lit(raw * wanted.count(t)), _times(F.col(held), t), F.size(held), F.lit(avgdl)) for t, raw in weights.items()]
+    return docs.withColumn(held, tokens(F.coalesce(text, F.lit("")))).withColumn(out, sum(parts[1:], parts[0])).drop(held)
+
+
+def piece_scores(pieces: Sequence[str], wanted: Sequence[str]) -> list[float]:
+    """BM25 of each text of a list, the list being the corpus."""
+    words = [re.findall("[a-z0-9]+", p.lower()) for p in pieces]
+    n, avgdl = len(words), sum(map(len, words)) / max(len(words), 1)
+    counts = [Counter(w) for w in words]
+    raw = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    asked = {t: df for t in dict.fromkeys(wanted) if (df := sum(t in c for c in counts))}
+    weights = {t: raw(df) for t, df in asked.items()}
+    if any(w < 0 for w in weights.values()):
+        dfs = Counter(t for c in counts for t in c)
+        mean = math.fsum(map(raw, dfs.values())) / len(dfs)
+        weights = {t: EPSILON * mean if w < 0 else w for t, w in weights.items()}
+    return [
+        sum(w * wanted.count(t) * c[t] * (K1 + 1) / (c[t] + K1 * (1 - B + B * len(ws) / avgdl)) for t, w in weights.items() if t in c)
+        for c, ws in zip(counts, words, strict=True)
+    ]
+
+
+def bm25_of_pieces(pieces: Column, query: str) -> Column:
+    """An array of scores beside an array of texts, null beside null: each row is a corpus of its own.
+
+    A corpus per row has no JVM form short of nested lambdas, which Catalyst repeats at every use, so this runs
+    in Arrow batches; being marked as not deterministic it is never repeated, nor is a filter pushed into it.
+    """
+    import pandas as pd
+
+    wanted = query_tokens(query)
+
+    def score(column):
+        return pd.Series([None if x is None else [float(s) for s in piece_scores(list(x), wanted)] for x in column], dtype=object)
+
+    return F.pandas_udf(score, "array<double>").asNondeterministic()(pieces)
 
 
 def dead_terms(docs: DataFrame, text: Column | str, query: str) -> DataFrame:
@@ -69,21 +121,50 @@ def keyphrases(docs: DataFrame, columns: Sequence[Column | str], phrases: Sequen
     return docs.withColumn("matched", found).withColumn("hits", F.size("matched"))
 
 
-def minmax(df: DataFrame, column: str, out: str) -> DataFrame:
-    """A column scaled to [0, 1]; all zeros where all values are equal. One small aggregate is broadcast; no window."""
-    ends = df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
-    scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, scaled).drop("__lo", "__hi")
+def zero_hits(scored: DataFrame, phrases: Sequence[str], matched: str = "matched") -> list[str]:
+    """The phrases that no row holds, in the given order."""
+    if not phrases:
+        return []
+    found = scored.agg(*[F.coalesce(F.bool_or(F.array_contains(matched, p)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(phrases)]).first()
+    return [p for p, hit in zip(phrases, found, strict=True) if not hit]
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """``value, n``: how many rows have each value, as of numbers of keyphrase hits."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``name, least, most`` of numeric columns, nulls passed over."""
+    ends = df.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"lo{i}").alias("least"), F.col(f"hi{i}").alias("most")) for i, c in enumerate(columns)])
+    return ends.select(F.inline(rows))
+
+
+def scaled(column: Column, lo: float | None, hi: float | None) -> Column:
+    """A column on [0, 1] between given ends; zeros where they are equal."""
+    return (column - lo) / (hi - lo) if lo is not None and hi is not None and hi > lo else F.lit(0.0)
 
 
 def combine(df: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """Adds ``sparse``, ``dense_norm`` and ``score`` to rows of ``bm25, hits, dense``; a half without signal has no weight."""
-    df = minmax(df, "bm25", "bm25_norm").withColumn("__both", F.col("bm25_norm") + F.col("hits"))
-    df = minmax(minmax(df, "__both", "sparse"), "dense", "dense_norm").drop("__both")
-    live = df.agg(F.max(F.abs("sparse")).alias("__s"), F.max(F.abs("dense_norm")).alias("__d"))
-    both = (F.col("__s") > 0) & (F.col("__d") > 0)
-    blend = F.when(both, alpha * F.col("sparse") + (1 - alpha) * F.col("dense_norm")).when(F.col("__s") > 0, F.col("sparse")).otherwise(F.col("dense_norm"))
-    return df.crossJoin(F.broadcast(live)).withColumn("score", blend).drop("__s", "__d")
+    """Adds ``bm25_norm, sparse, dense_norm, score`` to rows of ``bm25, hits, dense``; a half without signal has no weight.
+
+    One aggregate of a few rows (one for each number of hits, of which there are as many as phrases) gives
+    the ends of every scale, also of the sum of scaled BM25 and hits; the rows are then scored where they lie.
+    """
+    ends = df.groupBy("hits").agg(F.min("bm25").alias("lo"), F.max("bm25").alias("hi"), F.min("dense").alias("dense_lo"), F.max("dense").alias("dense_hi")).collect()
+    known = lambda name: [float(r[name]) for r in ends if r[name] is not None]
+    lo, hi = min(known("lo"), default=None), max(known("hi"), default=None)
+    dense_lo, dense_hi = min(known("dense_lo"), default=None), max(known("dense_hi"), default=None)
+    norm = lambda x: (x - lo) / (hi - lo) if hi > lo else 0.0
+    sums = [norm(float(r[x])) + r["hits"] for r in ends for x in ("lo", "hi") if r[x] is not None and r["hits"] is not None]
+    both_lo, both_hi = min(sums, default=None), max(sums, default=None)
+    df = df.withColumn("bm25_norm", scaled(F.col("bm25"), lo, hi))
+    df = df.withColumn("sparse", scaled(F.col("bm25_norm") + F.col("hits"), both_lo, both_hi)).withColumn("dense_norm", scaled(F.col("dense"), dense_lo, dense_hi))
+    live = [both_hi is not None and both_hi > both_lo, dense_hi is not None and dense_hi > dense_lo]
+    if all(live):
+        return df.withColumn("score", alpha * F.col("sparse") + (1 - alpha) * F.col("dense_norm"))
+    return df.withColumn("score", F.col("sparse") if live[0] else F.col("dense_norm"))
 
 
 def dense(df: DataFrame, vectors: Sequence[str], query: Sequence[float]) -> DataFrame:
@@ -112,46 +193,57 @@ def random_rows(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
 def ranked(df: DataFrame, id_col: str) -> DataFrame:
     """``rank`` by falling score, ties by id, and ``run``: the number of the stretch of equal rounded scores.
 
-    Both come from counts per rounded score, which are few, and a window within each: no window over all rows.
+    Both come from counts per rounded score (scores lie between 0 and 1, so a thousand at most) and a window within each.
     """
-    df = df.withColumn("__r", F.bround("score", FLAT_DECIMALS))
-    counts = df.groupBy(F.col("__r").alias("__q")).agg(F.count(F.lit(1)).alias("__n"))
+    value = fresh(df.columns, "__r")
+    df = df.withColumn(value, F.bround("score", FLAT_DECIMALS))
+    counts = df.groupBy(F.col(value).alias("__q")).agg(F.count(F.lit(1)).alias("__n"))
     order = Window.orderBy(F.desc("__q"))
     counts = counts.withColumn("run", F.row_number().over(order) - 1).withColumn("__before", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("__r").orderBy(F.desc("score"), id_col))
-    joined = df.join(F.broadcast(counts), F.col("__r").eqNullSafe(F.col("__q")))  # a thousand rounded scores at most
-    return joined.withColumn("rank", F.col("__before") + inside).drop("__n", "__before", "__r", "__q")
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(F.desc("score"), id_col))
+    joined = df.join(counts, F.col(value).eqNullSafe(F.col("__q")))
+    return joined.withColumn("rank", F.col("__before") + inside).drop("__n", "__before", value, "__q")
+
 
+def select_band(table: DataFrame, id_col: str, n: int, anchor: float, seed: int, taken: Sequence = ()) -> DataFrame:
+    """n rows of a ranked table around an anchor: a seeded draw across the flat run there, then down from it, then up.
 
-def select_band(df: DataFrame, id_col: str, n: int, anchor: float, seed: int) -> DataFrame:
-    """n rows of a ranked table around an anchor: a seeded draw across the flat run there, then down from it, then up."""
-    last = df.agg(F.max("rank").alias("__last")).withColumn("__start", (F.bround(F.lit(anchor) * (F.col("__last") - 1)) + 1).cast("long"))
-    at = df.crossJoin(F.broadcast(last))
-    here = at.filter(F.col("rank") == F.col("__start")).select(F.col("run").alias("__run"))
-    at = at.crossJoin(F.broadcast(here)).join(F.broadcast(df.groupBy(F.col("run").alias("__run")).agg(F.count(F.lit(1)).alias("__size"))), "__run")
-    flat = (F.col("run") == F.col("__run")) & (F.col("__size") > 1)
-    group = F.when(flat, 0).when(F.col("rank") >= F.col("__start"), 1).otherwise(2)
-    within = F.when(F.col("rank") >= F.col("__start"), F.col("rank")).otherwise(-F.col("rank"))
-    order = [group, F.when(flat, draw_key(seed, id_col)), F.when(~flat, within), F.col(id_col)]
-    return at.orderBy(*order).limit(n).drop("__last", "__start", "__run", "__size")
+    Anchor and run are those of the whole ranking; rows of ``taken`` ids are passed over afterwards.
+    """
+    last = table.agg(F.max("rank")).first()[0]
+    if last is None:
+        return table.limit(0)
+    start = round(anchor * (last - 1)) + 1
+    run = table.filter(F.col("rank") == start).select("run").first()[0]
+    flat = F.col("run") == run if table.filter(F.col("run") == run).limit(2).count() > 1 else F.lit(False)
+    within = F.when(F.col("rank") >= start, F.col("rank")).otherwise(-F.col("rank"))
+    order = [F.when(flat, 0).when(F.col("rank") >= start, 1).otherwise(2), F.when(flat, draw_key(seed, id_col)), F.when(~flat, within), F.col(id_col)]
+    left = table.filter(~F.col(id_col).isin(list(taken))) if len(taken) else table
+    return left.orderBy(*order).limit(n)
 
 
 def gradient_subset(df: DataFrame, id_col: str, m: int, seed: int) -> DataFrame:
-    """``band`` and the rows of a gradient draw; each band passes over rows that an earlier one took."""
-    table, taken, out = ranked(df, id_col), None, None
+    """``band`` and the rows of a gradient draw; each band passes over rows that an earlier one took.
+
+    The ranking is made once and kept while the bands, m rows in all, are read off.
+    """
+    from pyspark.sql import types as T
+
+    table, rows = ranked(df, id_col).persist(), []
+    taken: list = []
     for band, n, anchor in gradient_bands(m):
-        if not n:
-            continue
-        pool = table if taken is None else ranked_again(table, taken, id_col)
-        rows = select_band(pool, id_col, n, anchor, seed).withColumn("band", F.lit(band))
-        taken = rows.select(id_col) if taken is None else taken.unionByName(rows.select(id_col))
-        out = rows if out is None else out.unionByName(rows)
+        got = select_band(table, id_col, n, anchor, seed, taken).collect() if n else []
+        taken += [r[id_col] for r in got]
+        rows += [(band, *r) for r in got]
+    out = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("band", T.StringType()), *table.schema.fields]))
+    table.unpersist()
     return out
 
 
-def ranked_again(table: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
-    """Ranks stay those of the whole pool; taken rows leave it."""
-    return table.join(F.broadcast(taken), id_col, "left_anti")
+def band_summary(rows: DataFrame) -> DataFrame:
+    """Per band: rows, and the least and greatest rank and score."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("rank", "score") for n, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *ends)
 
 
 def percentiles(df: DataFrame, column: str) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks
-from .ranking import bm25
+from .ranking import bm25_of_pieces, fresh
 
 
 def chunk_size(size: int | str, length: Column) -> Column:
@@ -47,37 +47,60 @@ def as_text(df: DataFrame, column: str) -> Column:
     return F.concat(F.lit("["), F.array_join(column, ", "), F.lit("]")) if kind.startswith("array") else F.col(column)
 
 
-def score_chunks(df: DataFrame, id_col: str, column: str, query: str, size: int | str = 20000, score: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``id, chunk, piece, sim`` of the texts that are long enough to be cut.
+def scored_pieces(df: DataFrame, column: str, query: str, size: int | str, out: str, score: Callable[[Column], Column] | None = None, digits: int | None = None) -> DataFrame:
+    """``df`` with ``out``: structs (chunk, piece, sim) of a text that is long enough to be cut, else null.
 
     BM25 takes the chunks of one text as its corpus; ``score`` replaces it, as by the cosine of embeddings.
     """
     text = as_text(df, column)
-    cut = df.select(id_col, text.alias("__t"), chunk_size(size, F.length(text)).alias("__s")).filter("length(__t) >= __s")
-    pieces = cut.select(id_col, F.posexplode(chunks("__t", F.col("__s"))).alias("chunk", "piece"))
-    if score is not None:
-        return pieces.withColumn("sim", score(F.col("piece")))
-    return bm25(pieces, "chunk", "piece", query, per=[id_col]).withColumnRenamed("bm25", "sim")
-
-
-def select_chunks(scored: DataFrame, id_col: str, top: int | None = None, threshold: float | None = None) -> DataFrame:
-    """The best ``top`` chunks of each text, or those of at least ``threshold`` and the best one in any case; with ``rank``."""
+    length = chunk_size(size, F.length(text))
+    cut, sims = fresh(df.columns, "__pieces"), fresh(df.columns, "__sims")
+    df = df.withColumn(cut, F.when(F.length(text) >= length, chunks(text, length)))
+    df = df.withColumn(sims, bm25_of_pieces(F.col(cut), query) if score is None else F.transform(cut, score))
+    sim = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
+    pairs = F.zip_with(cut, sims, lambda p, s: F.struct(p.alias("piece"), sim(s).alias("sim")))
+    rows = F.transform(pairs, lambda x, i: F.struct(i.alias("chunk"), x["piece"].alias("piece"), x["sim"].alias("sim")))
+    return df.withColumn(out, rows).drop(cut, sims)
+
+
+def kept_pieces(scored: Column | str, top: int | None = None, threshold: float | None = None) -> Column:
+    """Structs (rank, chunk, sim, piece), by rank: the best ``top`` chunks, or those of at least ``threshold`` and the best one in any case."""
     if (top is None) == (threshold is None):
         raise ValueError("exactly one of top and threshold")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("sim"), "chunk"))
-    keep = F.col("rank") <= top if top is not None else (F.col("sim") >= threshold) | (F.col("rank") == 1)
-    return scored.withColumn("rank", rank).filter(keep)
+    by_rank = F.array_sort(F.transform(scored, lambda x: F.struct((-x["sim"]).alias("s"), x["chunk"].alias("chunk"), x["sim"].alias("sim"), x["piece"].alias("piece"))))
+    numbered = F.transform(by_rank, lambda x, i: F.struct((i + 1).alias("rank"), x["chunk"].alias("chunk"), x["sim"].alias("sim"), x["piece"].alias("piece")))
+    return F.slice(numbered, 1, top) if top is not None else F.filter(numbered, lambda x: (x["sim"] >= threshold) | (x["rank"] == 1))
+
+
+def score_chunks(df: DataFrame, id_col: str, column: str, query: str, size: int | str = 20000, score: Callable[[Column], Column] | None = None, digits: int | None = None) -> DataFrame:
+    """``id, chunk, piece, sim`` of the texts that are long enough to be cut, a row a chunk."""
+    return scored_pieces(df.select(id_col, column), column, query, size, "__found", score, digits).select(id_col, F.inline("__found"))
 
 
-def laid_out(selected: DataFrame, id_col: str, label: str = "similarity") -> DataFrame:
-    """``id, retrieved``: the kept chunks of a text by rank, under a line that names rank and score."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "sim", "piece")))
-    head = lambda x, n: F.format_string(f"[Chunk rank %d/%d, {label} %.4f]\n%s", x["rank"], n, x["sim"], x["piece"])
-    return selected.groupBy(id_col).agg(rows.alias("__r")).select(id_col, F.array_join(F.transform("__r", lambda x: head(x, F.size("__r"))), "\n\n").alias("retrieved"))
+def best_chunks(df: DataFrame, id_col: str, column: str, query: str, size: int | str = 20000, top: int | None = None, threshold: float | None = None, score: Callable[[Column], Column] | None = None, digits: int | None = None) -> DataFrame:
+    """``id, rank, chunk, sim, piece`` of the kept chunks."""
+    scored = scored_pieces(df.select(id_col, column), column, query, size, "__found", score, digits)
+    return scored.select(id_col, F.inline(kept_pieces("__found", top, threshold)))
 
 
-def retrieve(df: DataFrame, id_col: str, column: str, query: str, size: int | str = 20000, top: int | None = None, threshold: float | None = None, score: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``df`` with the column cut down to its best chunks; texts shorter than a chunk stay as they are."""
+def laid_out(kept: Column, label: str = "similarity") -> Column:
+    """The kept chunks of a text by rank, under a line that names rank and score."""
+    head = lambda x: F.format_string(f"[Chunk rank %d/%d, {label} %.4f]\n%s", x["rank"], F.size(kept), x["sim"], x["piece"])
+    return F.array_join(F.transform(kept, head), "\n\n")
+
+
+def retrieve(df: DataFrame, columns: Sequence[str], query: str, size: int | str = 20000, top: int | None = None, threshold: float | None = None, score: Callable[[Column], Column] | None = None, capture: str | None = None) -> DataFrame:
+    """``df`` with text columns cut down to their best chunks; texts shorter than a chunk stay as they are.
+
+    ``capture`` names a map column of what each of the columns then holds, to be kept as a sample. All happens
+    inside the row, so rows of one id, or of none, never mix.
+    """
     label = "BM25" if score is None else "similarity"
-    found = laid_out(select_chunks(score_chunks(df, id_col, column, query, size, score), id_col, top, threshold), id_col, label)
-    return df.join(found, id_col, "left").withColumn(column, F.coalesce("retrieved", as_text(df, column))).drop("retrieved")
+    for column in columns:
+        found, kept = fresh(df.columns, "__found"), fresh(df.columns, "__kept")
+        scored = scored_pieces(df, column, query, size, found, score)
+        scored = scored.withColumn(kept, kept_pieces(found, top, threshold))
+        df = scored.withColumn(column, F.when(F.col(kept).isNull(), as_text(df, column)).otherwise(laid_out(F.col(kept), label))).drop(found, kept)
+    if capture:
+        df = df.withColumn(capture, F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns])))
+    return df

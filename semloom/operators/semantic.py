@@ -12,38 +12,46 @@ from . import exact
 from .provider import Provider, Task
 from .retrieval import retrieve
 
-_ANSWER = "__answer"
+_ANSWER, _SKIP = "__answer", "__skip"
 
 
-def _asked(df: DataFrame, provider: Provider, task: Task, skip_if: Any) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with answers, and the rows that need none: a skipped row never reaches the model."""
+def _asked(df: DataFrame, provider: Provider, task: Task, skip_if: Any, watch: Watch) -> tuple[DataFrame, Column]:
+    """Rows with answers, and which of them were skipped. Every row is read once; a skipped one is never put to the model."""
     if skip_if is None:
-        return provider.answer(df, task, _ANSWER), None
-    skip = exact.tested(df, skip_if)
-    marked = df.withColumn("__skip", skip)
-    ask = marked.filter("not __skip.ok and __skip.error is null").drop("__skip")  # a skip rule that raises drops its row
-    return provider.answer(ask, task, _ANSWER), marked.filter("__skip.ok").drop("__skip")
+        return watch(provider.answer(df, task, _ANSWER), F.lit(False)), F.lit(False)
+    marked = df.withColumn(_SKIP, exact.tested(df, skip_if))
+    marked = marked.filter(F.col(f"{_SKIP}.error").isNull())  # a skip rule that raises drops its row
+    skipped = F.col(f"{_SKIP}.ok")
+    return watch(provider.answer(marked, task, _ANSWER, ~skipped), skipped), skipped
 
 
-def sem_filter(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None) -> DataFrame:
-    asked, skipped = _asked(df, provider, task, skip_if)
-    kept = asked.filter(F.coalesce(F.col(f"{_ANSWER}.value.passed"), F.lit(False))).drop(_ANSWER)
-    return kept if skipped is None else kept.unionByName(skipped)
+Watch = Callable[[DataFrame, Column], DataFrame]
 
 
-def sem_map(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None) -> DataFrame:
-    asked, skipped = _asked(df, provider, task, skip_if)
-    names = [n for n, _, _ in task.outputs]
-    out = asked.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{_ANSWER}.value.`{n}`").alias(n) for n in names])
-    return out if skipped is None else out.unionByName(skipped, allowMissingColumns=True)
+def unwatched(df: DataFrame, skipped: Column) -> DataFrame:
+    return df
+
+
+def sem_filter(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None, watch: Watch = unwatched) -> DataFrame:
+    asked, skipped = _asked(df, provider, task, skip_if, watch)
+    return asked.filter(skipped | F.coalesce(F.col(f"{_ANSWER}.value.passed"), F.lit(False))).drop(_ANSWER, _SKIP)
+
+
+def sem_map(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None, watch: Watch = unwatched) -> DataFrame:
+    asked, _ = _asked(df, provider, task, skip_if, watch)
+    return asked.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{_ANSWER}.value.`{n}`").alias(n) for n, _, _ in task.outputs])
 
 
-def sem_join(left: DataFrame, right: DataFrame, provider: Provider, task: Task, blocking: Column | str | None = None, most_pairs: int | None = None) -> DataFrame:
-    """A verdict on every pair that ``blocking`` leaves. ``most_pairs`` refuses a larger product before any call."""
+#: Pairs that a sem_join without a blocking condition asks about at most, unless told otherwise.
+MOST_PAIRS = 1_000_000
+
+
+def sem_join(left: DataFrame, right: DataFrame, provider: Provider, task: Task, blocking: Column | str | None = None, most_pairs: int | None = MOST_PAIRS, watch: Watch = unwatched) -> DataFrame:
+    """A verdict on every pair that ``blocking`` leaves. ``most_pairs`` refuses a larger product before any call; None allows all."""
     if blocking is None and most_pairs is not None and (pairs := left.count() * right.count()) > most_pairs:
         raise ValueError(f"sem_join would ask about {pairs} pairs; give a blocking condition or allow more")
     pairs = exact.join_rows(left, right, F.lit(True) if blocking is None else blocking)
-    return sem_filter(pairs, provider, task)
+    return sem_filter(pairs, provider, task, watch=watch)
 
 
 def group_key(df: DataFrame, key: str) -> Column:
@@ -51,7 +59,7 @@ def group_key(df: DataFrame, key: str) -> Column:
     return F.array_sort(F.col(key)) if dict(df.dtypes)[key].startswith("array") else F.col(key)
 
 
-def sem_agg(df: DataFrame, provider: Provider, task: Task, group_by: Sequence[str] = (), one_to_many: bool = False, keep_inputs: bool = False) -> DataFrame:
+def sem_agg(df: DataFrame, provider: Provider, task: Task, group_by: Sequence[str] = (), one_to_many: bool = False, keep_inputs: bool = False, watch: Watch = unwatched) -> DataFrame:
     """One call a group over the sorted list of its inputs, each a struct of what the task depends on.
 
     ``one_to_many`` spreads list answers over rows, the shorter ones padded with nulls, one row at least;
@@ -64,7 +72,7 @@ def sem_agg(df: DataFrame, provider: Provider, task: Task, group_by: Sequence[st
     aggs = [rows.alias("items"), *[F.min(F.col(f"`{k}`")).alias(k) for k in group_by]]
     grouped = keyed.groupBy(*keys).agg(*aggs) if keys else keyed.agg(*aggs).filter("size(items) > 0")
     items_task = Task(task.kind, task.instruction, task.outputs, ("items",), task.model)
-    asked = provider.answer(grouped, items_task, _ANSWER).filter(f"{_ANSWER}.error is null")
+    asked = watch(provider.answer(grouped, items_task, _ANSWER), F.lit(False)).filter(f"{_ANSWER}.error is null")
     names = [n for n, _, _ in task.outputs]
     if one_to_many:
         lists = [F.col(f"{_ANSWER}.value.`{n}`") for n in names]
@@ -88,12 +96,10 @@ def sem_agg(df: DataFrame, provider: Provider, task: Task, group_by: Sequence[st
 
 def _retrieved(df: DataFrame, a: dict, score: Callable[[Column], Column] | None) -> DataFrame:
     """The model's view of the rows: eligible texts cut down to their best chunks, beside the whole rows."""
-    whole = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     kinds = dict(df.dtypes)
-    for column in a["depends_on"]:
-        if kinds[column] in ("string", "array<string>"):
-            whole = retrieve(whole, a["id_col"], column, a["query"], a["chunk_size"], a["top"], a["threshold"], score)
-    return whole
+    whole = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    texts = [c for c in a["depends_on"] if kinds[c] in ("string", "array<string>")]
+    return retrieve(whole, texts, a["query"], a["chunk_size"], a["top"], a["threshold"], score, a.get("capture"))
 
 
 def _scorer(a: dict) -> Callable[[Column], Column] | None:
@@ -104,11 +110,11 @@ def _scorer(a: dict) -> Callable[[Column], Column] | None:
     return lambda piece: hashed_cosine(piece, a["query"])
 
 
-def rag_filter(df: DataFrame, provider: Provider, task: Task, a: dict) -> DataFrame:
+def rag_filter(df: DataFrame, provider: Provider, task: Task, a: dict, watch: Watch = unwatched) -> DataFrame:
     view = _retrieved(df, a, _scorer(a))
-    return sem_filter(view, provider, task).select("__row.*")
+    return sem_filter(view, provider, task, a.get("skip_if"), watch).select("__row.*", *filter(None, [a.get("capture")]))
 
 
-def rag_map(df: DataFrame, provider: Provider, task: Task, a: dict) -> DataFrame:
+def rag_map(df: DataFrame, provider: Provider, task: Task, a: dict, watch: Watch = unwatched) -> DataFrame:
     names = [n for n, _, _ in task.outputs]
-    return sem_map(_retrieved(df, a, _scorer(a)), provider, task).select("__row.*", *names)
+    return sem_map(_retrieved(df, a, _scorer(a)), provider, task, a.get("skip_if"), watch).select("__row.*", *names, *filter(None, [a.get("capture")]))

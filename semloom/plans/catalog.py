@@ -179,9 +179,10 @@ def semi_ids(spark, sf):
     return parquet(spark, sf, "customer").join(parquet(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_ids(spark, sf):
-    return parquet(spark, sf, "customer").join(parquet(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    urgent = parquet(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
+    return parquet(spark, sf, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 # grouping
@@ -229,17 +230,10 @@ def normalize_phrase(spark, sf):
 
 _JACCARD = """
 WITH b AS (SELECT item_id, list_distinct({0}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({0}) AS w FROM documents)
-SELECT doc_id, item_id, round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 6) AS score FROM d JOIN b ON doc_id % 40 = item_id % 40
+SELECT doc_id, item_id, round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 6) AS score FROM d JOIN b ON len(list_intersect(d.w, b.w)) > 0
 """.format(_WORDS_SQL.format("text"))
 
 
-@query(_JACCARD)
-def token_jaccard(spark, sf):
-    d = parquet(spark, sf, "documents").select("doc_id", X.token_set("text").alias("w"), (F.col("doc_id") % 40).alias("k"))
-    b = parquet(spark, sf, "benchmark").select("item_id", X.token_set("text").alias("v"), (F.col("item_id") % 40).alias("k"))
-    return d.join(b, "k").select("doc_id", "item_id", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
-
-
 def _meeting(spark, sf):
     """Whole documents and whole benchmark items that share a token, with ``common``, their numbers of tokens and the document's words.
 
@@ -253,9 +247,9 @@ def _meeting(spark, sf):
     return d.join(F.broadcast(b), "token").groupBy("row", "doc_id", "words", "n", "item_row", "item_id", "m").agg(F.count(F.lit(1)).alias("common"))
 
 
-@query(_JACCARD.replace("doc_id % 40 = item_id % 40", "len(list_intersect(d.w, b.w)) > 0"))
-def token_jaccard_all(spark, sf):
-    """Every pair of similarity above 0, where ``token_jaccard`` takes a sample of the pairs."""
+@query(_JACCARD)
+def token_jaccard(spark, sf):
+    """Every pair of similarity above 0."""
     return _meeting(spark, sf).select("doc_id", "item_id", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("score"))
 
 
@@ -277,23 +271,16 @@ def keys_by_items(spark, sf):
 
 
 _QUOTE = f"""
-WITH q AS (SELECT d.doc_id, b.item_id, substr(d.text, 1, 400) AS quote, substr(b.text, 1, 200) AS span FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
+WITH q AS (SELECT d.doc_id, b.item_id, d.text AS quote, b.text AS span FROM documents d, benchmark b),
 w AS (SELECT *, list_distinct({_WORDS_SQL.format('quote')}) AS qs, list_distinct({_WORDS_SQL.format('span')}) AS gs, len(list_filter(regexp_split_to_array(quote, '\\s+'), lambda x: x <> '')) AS n FROM q),
 s AS (SELECT *, len(list_intersect(qs, gs)) AS common FROM w)
-SELECT doc_id, item_id, round(CASE WHEN len(qs) > 0 AND n <= 60 AND len(gs) >= 5 AND common / len(gs) >= 0.9 THEN 1.0 WHEN len(qs) + len(gs) - common = 0 THEN 1.0 ELSE common / (len(qs) + len(gs) - common) END, 6)::DOUBLE AS score FROM s
+SELECT doc_id, item_id, round(CASE WHEN len(qs) > 0 AND n <= 60 AND len(gs) >= 5 AND common / len(gs) >= 0.9 THEN 1.0 WHEN len(qs) + len(gs) - common = 0 THEN 1.0 ELSE common / (len(qs) + len(gs) - common) END, 6)::DOUBLE AS score FROM s WHERE common > 0
 """
 
 
 @query(_QUOTE)
 def quote_score(spark, sf):
-    d = parquet(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("quote"), (F.col("doc_id") % 40).alias("k"))
-    b = parquet(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 200).alias("span"), (F.col("item_id") % 40).alias("k"))
-    return d.join(b, "k").select("doc_id", "item_id", F.round(X.quote_score(F.array("span"), "quote"), 6).alias("score"))
-
-
-@query(_QUOTE.replace("substr(d.text, 1, 400)", "d.text").replace("substr(b.text, 1, 200)", "b.text").replace("d.doc_id % 40 = b.item_id % 40", "true") + "WHERE common > 0")
-def quote_score_all(spark, sf):
-    """Every pair of score above 0 from whole texts, where ``quote_score`` takes a sample of the pairs and the heads of the texts."""
+    """Every pair of score above 0, from whole texts."""
     holds = (F.col("words") <= 60) & (F.col("m") >= 5) & (F.col("common") / F.col("m") >= 0.9)
     score = F.when(holds, 1.0).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
     return _meeting(spark, sf).select("doc_id", "item_id", F.round(score, 6).alias("score"))
@@ -304,10 +291,9 @@ def truncate_middle(spark, sf):
     return parquet(spark, sf, "documents").select("doc_id", X.truncate_middle("text", 300).alias("short"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE 'x' END AS id FROM part")
+@query("SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE p_retailprice::VARCHAR END AS id FROM part")
 def normalize_ids(spark, sf):
-    n = X.normalize_id("p_retailprice")
-    return parquet(spark, sf, "part").select("p_partkey", F.when(F.contains(n, F.lit(".")), "x").otherwise(n).alias("id"))
+    return parquet(spark, sf, "part").select("p_partkey", X.normalize_id("p_retailprice").alias("id"))
 
 
 _CITE = "SELECT item_id, list_sort(list_distinct([item_id % 5, item_id % 5 + 1, item_id % 5 + 2, item_id % 7])) AS cited FROM benchmark"
@@ -348,12 +334,12 @@ scores AS (SELECT d.doc_id, d.text, coalesce(bm25, 0.0) AS bm25 FROM documents d
 
 @query(f"{_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM scores")
 def bm25_rank(spark, sf):
-    return ranking.bm25(parquet(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return ranking.bm25(parquet(spark, sf, "documents").select("doc_id", "text"), "text", QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("SELECT 1 AS position, 'zzzqx' AS term")
+@query(f"SELECT (i - 1)::INTEGER AS position, q[i] AS term FROM (SELECT ['the', 'zzzqx', 'hereby', 'license', 'qqq'] AS q), range(1, 6) AS r(i) WHERE q[i] NOT IN (SELECT unnest({_WORDS_SQL.format('text')}) FROM documents WHERE text IS NOT NULL)")
 def dead_terms(spark, sf):
-    return ranking.dead_terms(parquet(spark, sf, "documents"), "text", "the zzzqx")
+    return ranking.dead_terms(parquet(spark, sf, "documents"), "text", "the zzzqx hereby license qqq")
 
 
 _VECTOR = [((i * 7) % 13 - 6) / 6.0 for i in range(64)]
@@ -375,7 +361,7 @@ scored AS (SELECT doc_id, round(0.5 * sparse + 0.5 * dense_norm, 6) AS score FRO
 
 def _hybrid(spark, sf) -> DataFrame:
     docs = parquet(spark, sf, "documents").select("doc_id", "text")
-    scored = ranking.keyphrases(ranking.bm25(docs, "doc_id", "text", QUERY), ["text"], ["of the", "license"])
+    scored = ranking.keyphrases(ranking.bm25(docs, "text", QUERY), ["text"], ["of the", "license"])
     vectors = parquet(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     scored = ranking.dense(scored.join(vectors, "doc_id", "left"), ["embedding"], _VECTOR)
     return ranking.combine(scored, 0.5).select("doc_id", F.round("score", 6).alias("score"))
@@ -419,6 +405,13 @@ def gradient_subset(spark, sf):
     return ranking.gradient_subset(scored, "p_partkey", 20, 42).select("band", "p_partkey")
 
 
+@query(f"{_RANKED}, taken1 AS (SELECT NULL::BIGINT AS p_partkey WHERE false){_BAND.format(1, '0.0', 'ranked', 10)}, taken2 AS (SELECT * FROM b1){_BAND.format(2, '0.5', 'ranked', 5)}, taken3 AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2){_BAND.format(3, '0.9', 'ranked', 5)} , picked AS (SELECT 'top' AS band, p_partkey FROM b1 UNION ALL SELECT 'middle', p_partkey FROM b2 UNION ALL SELECT 'negative', p_partkey FROM b3) SELECT band, count(*) AS n, min(rank) AS rank_min, max(rank) AS rank_max, min(score) AS score_min, max(score) AS score_max FROM picked JOIN ranked USING (p_partkey) GROUP BY band")
+def band_summary(spark, sf):
+    scored = parquet(spark, sf, "part").select("p_partkey", ((F.col("p_size") - 1) / 49.0).alias("score"))
+    rows = ranking.band_summary(ranking.gradient_subset(scored, "p_partkey", 20, 42))
+    return rows.select("band", "n", F.col("rank_min").cast("long").alias("rank_min"), F.col("rank_max").cast("long").alias("rank_max"), "score_min", "score_max")
+
+
 @query("WITH a AS (SELECT p_partkey FROM part WHERE p_size < 20 ORDER BY p_retailprice DESC, p_partkey LIMIT 12) SELECT 1 AS stratum, p_partkey FROM a UNION ALL SELECT 2, p_partkey FROM (SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM a) ORDER BY p_retailprice DESC, p_partkey LIMIT 8)")
 def strata_subset(spark, sf):
     part, order = parquet(spark, sf, "part"), [F.desc("p_retailprice"), F.col("p_partkey")]
@@ -443,9 +436,9 @@ def fill_subset(spark, sf):
 _CHUNKS = "SELECT doc_id, i AS chunk, substr(text, i * 1000 + 1, 1000) AS piece FROM (SELECT doc_id, text, unnest(range(greatest(ceil(length(text) / 1000), 1)::BIGINT)) AS i FROM documents WHERE length(text) >= 1000)"
 
 
-@query(f"SELECT doc_id, chunk::INTEGER AS chunk, piece FROM ({_CHUNKS})")
+@query(f"SELECT doc_id, chunk::INTEGER AS chunk, piece FROM ({_CHUNKS.replace(' WHERE length(text) >= 1000', '')})")
 def chunk_text(spark, sf):
-    docs = parquet(spark, sf, "documents").filter(F.length("text") >= 1000)
+    docs = parquet(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(X.chunks("text", 1000)).alias("chunk", "piece"))
 
 
@@ -461,19 +454,18 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, chunk)
 """
 
 
-def _chunk_scores(spark, sf) -> DataFrame:
-    scored = retrieval.score_chunks(parquet(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", QUERY, 1000)
-    return scored.withColumn("sim", F.round("sim", 6))
+def _best_chunks(spark, sf, **rule) -> DataFrame:
+    return retrieval.best_chunks(parquet(spark, sf, "documents"), "doc_id", "text", QUERY, 1000, digits=6, **rule)
 
 
 @query(f"{_CHUNK_SCORES} SELECT doc_id, chunk::INTEGER AS chunk, sim, rank::INTEGER AS rank FROM o WHERE rank <= 2")
 def chunk_topk_bm25(spark, sf):
-    return retrieval.select_chunks(_chunk_scores(spark, sf), "doc_id", top=2).select("doc_id", "chunk", "sim", "rank")
+    return _best_chunks(spark, sf, top=2).select("doc_id", "chunk", "sim", "rank")
 
 
 @query(f"{_CHUNK_SCORES} SELECT doc_id, chunk::INTEGER AS chunk, sim FROM o WHERE sim >= 0.5 OR rank = 1")
 def chunk_threshold(spark, sf):
-    return retrieval.select_chunks(_chunk_scores(spark, sf), "doc_id", threshold=0.5).select("doc_id", "chunk", "sim")
+    return _best_chunks(spark, sf, threshold=0.5).select("doc_id", "chunk", "sim")
 
 
 @query("SELECT doc_id, greatest(floor(greatest(length(text) / 4, 500)), 1)::INTEGER AS size FROM documents")
@@ -602,27 +594,175 @@ def set_f1(spark, sf):
     return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query(f"WITH x AS (SELECT d.doc_id, list_distinct({_WORDS_SQL.format('substr(text, 1, 100)')}) AS q, list_distinct({_WORDS_SQL.format('substr(text, 1, 150)')}) AS g FROM documents d JOIN labels USING (doc_id) WHERE quality = 1), s AS (SELECT *, len(list_intersect(q, g)) / greatest(len(q) + len(g) - len(list_intersect(q, g)), 1) AS j, len(q) + len(g) = 0 AS none FROM x) SELECT count(*) FILTER (j > 0.6 OR none) AS tp, count(*) FILTER (NOT (j > 0.6 OR none)) AS fn FROM s")
+_BENT = "regexp_replace(text, '[aeo]n[a-z]*', 'x', 'g')"
+
+
+def _bent(text="text"):
+    """A text with some of its words changed: what a plan might have quoted of it."""
+    return F.regexp_replace(text, "[aeo]n[a-z]*", "x")
+
+
+@query(f"WITH x AS (SELECT d.doc_id, list_distinct({_WORDS_SQL.format(_BENT)}) AS q, list_distinct({_WORDS_SQL.format('text')}) AS g FROM documents d JOIN labels USING (doc_id) WHERE quality = 1), s AS (SELECT *, len(list_intersect(q, g)) / greatest(len(q) + len(g) - len(list_intersect(q, g)), 1) AS j, len(q) + len(g) = 0 AS none FROM x) SELECT count(*) FILTER (j > 0.5 OR none) AS tp, count(*) FILTER (NOT (j > 0.5 OR none)) AS fn FROM s")
 def set_f1_jaccard(spark, sf):
     docs = parquet(spark, sf, "documents")
-    got = docs.select("doc_id", F.substring("text", 1, 100).alias("quote"))
-    gold = docs.join(parquet(spark, sf, "labels").filter("quality = 1"), "doc_id").select("doc_id", F.array(F.substring("text", 1, 150)).alias("spans"))
-    return E.set_f1(got, gold, docs, "doc_id", X.span_jaccard(F.col("spans"), "quote") > 0.6).select("tp", "fn")
+    gold = docs.join(parquet(spark, sf, "labels").filter("quality = 1"), "doc_id").select("doc_id", F.array("text").alias("spans"))
+    return E.set_f1_reason(docs.select("doc_id", _bent().alias("reason")), gold, docs, "doc_id", "reason", "spans").select("tp", "fn")
 
 
-_MACRO = """WITH c AS (SELECT lang AS category, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lower(substr(text, 1, 200)) END AS g, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lower(substr(text, 41, 200)) END AS p FROM documents),
+@query(f"WITH x AS (SELECT d.doc_id, {_BENT} AS quote, list_distinct({_WORDS_SQL.format(_BENT)}) AS q, list_distinct({_WORDS_SQL.format('text')}) AS g, len(list_filter(regexp_split_to_array({_BENT}, '\\s+'), lambda x: x <> '')) AS n FROM documents d JOIN labels USING (doc_id) WHERE quality = 1), s AS (SELECT *, len(list_intersect(q, g)) AS c FROM x), t AS (SELECT CASE WHEN len(q) > 0 AND n <= 60 AND len(g) >= 5 AND c / len(g) >= 0.9 THEN 1.0 WHEN len(q) + len(g) - c = 0 THEN 1.0 ELSE c / (len(q) + len(g) - c) END AS score FROM s) SELECT count(*) FILTER (score > 0.5) AS tp, count(*) FILTER (NOT score > 0.5) AS fn FROM t")
+def set_f1_quote(spark, sf):
+    docs = parquet(spark, sf, "documents")
+    gold = docs.join(parquet(spark, sf, "labels").filter("quality = 1"), "doc_id").select("doc_id", F.array("text").alias("spans"))
+    return E.set_f1_quote(docs.select("doc_id", _bent().alias("quote")), gold, docs, "doc_id", "quote", "spans").select("tp", "fn")
+
+
+_MACRO = f"""WITH c AS (SELECT lang AS category, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lower(text) END AS g, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lower({_BENT}) END AS p FROM documents),
 w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(g, '\\s+'), lambda x: x <> '')) AS gw, list_distinct(list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '')) AS pw FROM c),
-j AS (SELECT *, g <> '' AND p <> '' AND len(list_intersect(gw, pw)) / greatest(len(gw) + len(pw) - len(list_intersect(gw, pw)), 1) > 0.5 AS hit FROM w),
-n AS (SELECT category, count(*) FILTER (hit) AS tp, count(*) FILTER (p <> '' AND NOT hit) AS fp, count(*) FILTER (g <> '' AND p = '') AS fn, count(*) FILTER (g = '' AND p = '') AS tn FROM j GROUP BY category)
-SELECT category, tp, fp, fn, tn, round(CASE WHEN tp + fn = 0 THEN NULL WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1 FROM n"""
+j AS (SELECT *, g <> '' AND p <> '' AND len(list_intersect(gw, pw)) / greatest(len(gw) + len(pw) - len(list_intersect(gw, pw)), 1) > 0.15 AS hit FROM w),
+n AS (SELECT category, count(*) FILTER (hit) AS tp, count(*) FILTER (p <> '' AND NOT hit) AS fp, count(*) FILTER (g <> '' AND p = '') AS fn, count(*) FILTER (g = '' AND p = '') AS tn FROM j GROUP BY category),
+f AS (SELECT category, tp, fp, fn, tn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CASE WHEN tp + fn = 0 THEN NULL WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM n)
+"""
+
+
+def _cells(spark, sf):
+    return parquet(spark, sf, "documents").select(F.col("lang").alias("category"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("gold"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(_bent()).alias("got"))
 
 
-@query(_MACRO)
+@query(f"{_MACRO} SELECT category, tp, fp, fn, tn, round(f1, 6)::DOUBLE AS f1 FROM f")
 def macro_f1(spark, sf):
-    cells = parquet(spark, sf, "documents").select(
-        F.col("lang").alias("category"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring("text", 1, 200)).alias("gold"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.substring("text", 41, 200)).alias("got")
-    )
-    return E.macro_f1(cells, "category", "gold", "got", 0.5).select("category", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"))
+    return E.macro_f1(_cells(spark, sf), "category", "gold", "got").select("category", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"))
+
+
+@query(f"{_MACRO} SELECT round(avg(precision), 6)::DOUBLE AS avg_precision, round(avg(recall), 6)::DOUBLE AS avg_recall, round(avg(f1), 6)::DOUBLE AS avg_f1, avg(CASE WHEN recall IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS nan_fraction FROM f")
+def macro_means(spark, sf):
+    means = E.macro_means(E.macro_f1(_cells(spark, sf), "category", "gold", "got"))
+    return means.select(*[F.round(c, 6).alias(c) for c in ("avg_precision", "avg_recall", "avg_f1")], "nan_fraction")
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, category, trim(regexp_replace(t, '[^a-zA-Z0-9\\s]', '', 'g')) AS text FROM (SELECT p_partkey, 'p_type' AS category, p_type AS t FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part) WHERE trim(regexp_replace(t, '[^a-zA-Z0-9\\s]', '', 'g')) <> ''")
+def wide_to_long(spark, sf):
+    return E.wide_to_long(parquet(spark, sf, "part").withColumnRenamed("p_type", "P-Type"), "p_partkey", ["p_type", "p_brand", "absent"])
+
+
+@query("SELECT conv_id::VARCHAR AS conv_id, lower(role) AS category, string_agg(trim(regexp_replace(text, '[^a-zA-Z0-9\\s]', '', 'g')), ' ' ORDER BY turn) AS text FROM conversations WHERE trim(regexp_replace(text, '[^a-zA-Z0-9\\s]', '', 'g')) <> '' GROUP BY ALL")
+def nested_to_long(spark, sf):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("clause_type"), x["text"].alias("text_span")))
+    return E.nested_to_long(parquet(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("clauses")), "conv_id", "clauses")
+
+
+_INSIGHTS = "SELECT item_id AS insight_id, [item_id % 7, item_id % 11 + 100000000, item_id + 1] AS docs FROM benchmark"
+_PRESENT = f"WITH i AS ({_INSIGHTS}), present AS (SELECT insight_id, list_sort(list(DISTINCT d)) AS ref FROM (SELECT insight_id, unnest(docs) AS d FROM i) WHERE d IN (SELECT doc_id FROM documents) GROUP BY insight_id)"
+
+
+def _present(spark, sf):
+    i = F.col("item_id")
+    insights = parquet(spark, sf, "benchmark").select(i.alias("insight_id"), F.array(i % 7, i % 11 + 100_000_000, i + 1).alias("docs"))
+    return E.insights_present(insights, parquet(spark, sf, "documents"), "docs", "doc_id")
+
+
+@query(f"{_PRESENT} SELECT insight_id, ref FROM present")
+def insights_present(spark, sf):
+    return _present(spark, sf).select("insight_id", "ref")
+
+
+@query(f"""{_PRESENT}, v AS (SELECT item_id AS insight_id, CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS coverage, CASE WHEN item_id % 3 < 2 AND item_id % 4 > 0 THEN item_id % 5 END AS bullet_id FROM benchmark WHERE item_id % 10 > 0),
+b AS (SELECT k AS bullet_id, list_distinct([k, k + 1, k + 2]) AS cited FROM range(5) AS r(k)),
+s AS (SELECT insight_id, coalesce(coverage, 0.0) AS coverage, ref, coalesce(cited, []) AS cited FROM present LEFT JOIN v USING (insight_id) LEFT JOIN b USING (bullet_id)),
+f AS (SELECT coverage, CASE WHEN coverage > 0 THEN CASE WHEN len(cited) = 0 THEN 0.0 ELSE len(list_intersect(cited, ref)) / len(cited) END END AS p, CASE WHEN coverage > 0 THEN len(list_intersect(cited, ref)) / len(ref) END AS r FROM s),
+g AS (SELECT *, CASE WHEN coverage > 0 THEN CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END END AS f1 FROM f)
+SELECT round(avg(coalesce(coverage * f1, 0.0)), 6)::DOUBLE AS score, round(avg(coverage), 6)::DOUBLE AS coverage, round(avg(f1), 6)::DOUBLE AS citation_f1, count(*) AS n_insights, count(*) FILTER (coverage = 1) AS fully_covered FROM g""")
+def summary_citation(spark, sf):
+    i, k = F.col("item_id"), F.col("id")
+    kept = F.when((i % 3 < 2) & (i % 4 > 0), i % 5)
+    verdicts = parquet(spark, sf, "benchmark").filter("item_id % 10 > 0").select(i.alias("insight_id"), F.when(i % 3 == 0, 1.0).when(i % 3 == 1, 0.5).otherwise(0.0).alias("coverage"), kept.alias("bullet_id"))
+    bullets = spark.range(5).select(k.alias("bullet_id"), X.normalize_citations(F.concat(F.lit("so it is [Article "), k, F.lit("-"), k + 2, F.lit("]"))).alias("cited"))
+    means = E.summary_means(E.summary_scores(_present(spark, sf), bullets, verdicts))
+    return means.select(*[F.round(c, 6).alias(c) for c in ("score", "coverage", "citation_f1")], "n_insights", "fully_covered")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 11 > 0 AND p_size % 5 > 2 AND p_size * CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 7 END >= 90 AND 1990 + p_size > 2000")
+def query_conditions(spark, sf):
+    """Conditions over parsed answers, and rows whose ground truth cannot settle them left out."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    truth = parquet(spark, sf, "part").select(
+        "p_partkey", F.to_json(F.struct((size % 5).alias("number_parties"))).alias("Parties Answer"),
+        F.to_json(F.array(F.struct(size.alias("length"), F.when(key % 2 == 0, "months").otherwise("weeks").alias("unit")))).alias("Notice Answer"),
+        F.to_json(F.array(F.struct((size + 1990).cast("string").alias("year")), F.struct(F.lit("20??").alias("year")))).alias("Expiration Answer"),
+        F.when(key % 11 == 0, F.lit('{"Parties": "unclear"}')).otherwise(F.lit('{"Other": "x"}')).alias("unusable"),
+    )
+    return E.gold_ids(truth, [E.more_than("Parties", 2), E.at_least_days("Notice", 90), E.after_year("Expiration", 2000)], ["p_partkey"])
+
+
+@query("SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS name, c_custkey % 3 = 0 AS same FROM customer")
+def name_matches(spark, sf):
+    from ..functions.names import name_matches as matches
+    from ..functions.names import normalize_name
+
+    said = F.concat(F.lit("The "), F.replace("c_name", F.lit("Cust"), F.lit("Cüst")), F.when(F.col("c_custkey") % 2 == 0, ", Inc.").otherwise(" Holdings S.p.A."))
+    accepted = F.array(F.lit("Other"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.lit("Another")))
+    return parquet(spark, sf, "customer").select("c_custkey", normalize_name(said).alias("name"), matches(said, accepted).alias("same"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(trim(p_type)), '[ /-]', '_', 'g') AS category, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS contract FROM part")
+def key_normalizers(spark, sf):
+    from ..functions.names import category_key, contract_key
+
+    return parquet(spark, sf, "part").select("p_partkey", category_key(F.col("p_type")).alias("category"), contract_key(F.concat("p_name", F.lit(".PDF'"))).alias("contract"))
+
+
+@query("""SELECT p_partkey, '{"id":' || p_partkey || ',"brand":"' || p_brand || '","category":"' || p_type || '"}' AS id, p_partkey || '-' || p_size AS pair FROM part""")
+def composite_id(spark, sf):
+    from ..functions.names import composite_id as composed
+    from ..functions.names import pair_id
+
+    return parquet(spark, sf, "part").select("p_partkey", composed(id=F.col("p_partkey"), brand=F.col("p_brand"), category=F.col("p_type")).alias("id"), pair_id(F.col("p_partkey"), F.col("p_size")).alias("pair"))
+
+
+@query("SELECT item_id, 'see [' || array_to_string(list_concat(range(item_id % 5, item_id % 5 + 3), [item_id % 7]), ', ') || '] and [doctor]' AS text, 1 AS rewritten FROM benchmark")
+def rewrite_citations(spark, sf):
+    from ..functions.summaries import rewritten_citations
+
+    i = F.col("item_id")
+    said = F.concat(F.lit("see [Articles "), i % 5, F.lit("–"), i % 5 + 2, F.lit("; "), i % 7, F.lit("] and [doctor]"))
+    return parquet(spark, sf, "benchmark").select("item_id", rewritten_citations(said).alias("r")).select("item_id", "r.text", "r.rewritten")
+
+
+@query("SELECT conv_id, list_filter(list_transform(string_split(string_agg(text, chr(10) ORDER BY turn), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS bullets FROM conversations GROUP BY conv_id")
+def summary_bullets(spark, sf):
+    """A group's texts as one summary cell, and the cell as bullets."""
+    from ..functions.summaries import summary_bullets as bullets
+
+    cell = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))
+    return parquet(spark, sf, "conversations").groupBy("conv_id").agg(cell.alias("cell")).select("conv_id", bullets("cell").alias("bullets"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'unlimited' ELSE '1' END AS renewals, p_size::DOUBLE AS length, 'months' AS unit, 30.0::DOUBLE AS notice, p_size AS term, 'years' AS term_unit FROM part WHERE p_size > 12")
+def contract_terms(spark, sf):
+    from ..functions import contracts as C
+
+    size = F.col("p_size").cast("string")
+    renewal = F.concat(F.when(F.col("p_partkey") % 3 == 0, "succesive ").otherwise(""), F.lit("some ("), size, F.lit(") month; perpetual"))
+    term = F.array(F.concat(F.lit("This agreement has a term of "), size, F.lit(" years, unless ended by thirty (30) days prior notice.")))
+    made = parquet(spark, sf, "part").filter("p_size > 12").select("p_partkey", C.parse_renewals(renewal)[0].alias("r"), C.parse_notice(F.lit("thirty (30) days"))[0].alias("n"), C.term_in_spans(term).alias("t"))
+    return made.select("p_partkey", "r.renewals", "r.length", "r.unit", F.col("n.length").alias("notice"), F.col("t.length").alias("term"), F.col("t.unit").alias("term_unit"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN ['New York', 'Ontario'] WHEN n_nationkey % 4 = 1 THEN ['England', 'Wales'] WHEN n_nationkey % 4 = 2 THEN ['not a place'] ELSE ['redacted'] END AS places FROM nation")
+def governing_law(spark, sf):
+    from ..functions.contracts import parse_governing_law
+
+    k = F.col("n_nationkey") % 4
+    raw = F.when(k == 0, "State of New York; New York; Province of Ontario, Canada").when(k == 1, "England and Wales").when(k == 2, "where the breach occurs").otherwise("[ * ]")
+    return parquet(spark, sf, "nation").select("n_nationkey", parse_governing_law(raw, ["New York"], ["Canada"], ["Ontario", "England", "Wales"]).alias("places"))
+
+
+@query("SELECT n_nationkey, 2 AS number_parties, ['Acme Incorporated', n_name || ' Limited'] AS parties FROM nation")
+def contract_parties(spark, sf):
+    from ..functions.contracts import parse_parties
+
+    raw = F.concat(F.lit('Acme Incorporatd ("Acme"); '), "n_name", F.lit(' Limited; together ("Parties")'))
+    spans = F.array(F.concat(F.lit("between Acme Incorporated and "), "n_name", F.lit(" Limited")))
+    return parquet(spark, sf, "nation").select("n_nationkey", parse_parties(raw, spans).alias("p")).select("n_nationkey", "p.number_parties", "p.parties")
 
 
 @query("WITH c AS (SELECT lang, source, count(*)::DOUBLE AS n FROM documents GROUP BY ALL), a AS (SELECT sum(n * (n - 1) / 2) AS a, sum(n) AS n FROM c), b AS (SELECT sum(m * (m - 1) / 2) AS b FROM (SELECT sum(n) AS m FROM c GROUP BY lang)), d AS (SELECT sum(m * (m - 1) / 2) AS c FROM (SELECT sum(n) AS m FROM c GROUP BY source)) SELECT round((a - b * c / (n * (n - 1) / 2)) / ((b + c) / 2 - b * c / (n * (n - 1) / 2)), 6) AS ari FROM a, b, d")
@@ -661,10 +801,64 @@ def unstable_records(spark, sf):
     return metrics.unstable_records(one.unionByName(two), "run", "p_partkey", 2)
 
 
-@query("WITH c AS (SELECT event_type AS op, 'bad value ' || (user_id % 9)::VARCHAR AS message, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY n DESC, message) AS rank FROM c) SELECT op, rank::INTEGER AS rank, n::VARCHAR || 'x ' || message AS error FROM r WHERE rank <= 3")
+def _watched(spark, sf):
+    """A plan of a mapping that fails on some rows, an exact filter and a model filter, and what its run recorded."""
+    from ..operators.record import Record
+
+    def parsed(row):
+        import json
+
+        k = json.loads(row["props"])["k"]
+        if k % 5 == 0:
+            raise ValueError(f"bad value {k % 3}")
+        return {"k": k}
+
+    rules = RuleProvider({"The value is even.": lambda c: c("k") % 2 == 0})
+    plan = _plan(spark, sf, "events").project(["event_id", "props", "value"]).map(parsed, [{"name": "k", "type": "int"}]).filter("value > 50").sem_filter("The value is even.", depends_on=["k"])
+    record = Record({"rules": metrics.Price(1.0, 2.0)})
+    plan.lower(rules, record=record).write.format("noop").mode("overwrite").save()
+    return record
+
+
+_EVENTS = "WITH e AS (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)"
+
+
+@query(f"{_EVENTS} SELECT 'map' AS op_type, count(*) AS num_records, count(*) FILTER (k % 5 <> 0) AS num_passed, count(*) FILTER (k % 5 = 0) AS num_errors FROM e UNION ALL SELECT 'filter', count(*), count(*) FILTER (value > 50), 0 FROM e WHERE k % 5 <> 0 UNION ALL SELECT 'sem_filter', count(*), count(*) FILTER (k % 2 = 0), 0 FROM e WHERE k % 5 <> 0 AND value > 50")
+def operator_stats(spark, sf):
+    return _watched(spark, sf).stats(spark).select("op_type", "num_records", "num_passed", "num_errors")
+
+
+@query(f"{_EVENTS}, c AS (SELECT 'ValueError: bad value ' || (k % 3)::VARCHAR AS message, count(*) AS n FROM e WHERE k % 5 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, message) AS rank FROM c) SELECT rank::INTEGER AS rank, n::VARCHAR || 'x ' || message AS error FROM r WHERE rank <= 3")
 def op_error_top3(spark, sf):
-    errors = parquet(spark, sf, "events").select(F.col("event_type").alias("op"), F.concat(F.lit("bad value "), F.col("user_id") % 9).alias("message"))
-    return metrics.top_errors(errors, "op", "message")
+    return _watched(spark, sf).errors(spark).select("rank", "error")
+
+
+@query("SELECT event_type AS op_type, count(*) AS n, round(sum(value), 4) AS value_sum, round(avg(value), 4) AS value_mean FROM events GROUP BY 1")
+def results_summary(spark, sf):
+    return metrics.results_summary(parquet(spark, sf, "events").withColumnRenamed("event_type", "op_type"), "op_type", {"value": 4})
+
+
+@query(f"SELECT hits AS value, count(*) AS n FROM (SELECT len(list_filter(['of the', 'license', 'and'], lambda p: contains(' ' || array_to_string({_WORDS_SQL.format('text')}, ' ') || ' ', ' ' || p || ' '))) AS hits FROM documents) GROUP BY hits")
+def hits_histogram(spark, sf):
+    scored = ranking.keyphrases(parquet(spark, sf, "documents"), ["text"], ["of the", "license", "and"])
+    return ranking.histogram(scored.withColumn("hits", F.col("hits").cast("long")), "hits")
+
+
+@query("SELECT 'o_totalprice' AS name, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders UNION ALL SELECT 'o_custkey', min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders")
+def score_ranges(spark, sf):
+    return ranking.ranges(parquet(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@query(f"SELECT p FROM (SELECT unnest(['of the', 'zzz qx', 'license', 'qqq']) AS p) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(' ' || array_to_string({_WORDS_SQL.format('text')}, ' ') || ' ', ' ' || p || ' '))")
+def zero_hit_phrases(spark, sf):
+    phrases = ["of the", "zzz qx", "license", "qqq"]
+    unused = ranking.zero_hits(ranking.keyphrases(parquet(spark, sf, "documents"), ["text"], phrases), phrases)
+    return spark.createDataFrame([(p,) for p in unused], "p string")
+
+
+@query("SELECT conv_id, turn, (1.0 / count(*) OVER (PARTITION BY conv_id))::DOUBLE AS cost FROM conversations")
+def spread_costs(spark, sf):
+    return metrics.spread_over(parquet(spark, sf, "conversations").select("conv_id", "turn", F.lit(1.0).alias("cost")), ["conv_id"], ["cost"])
 
 
 @query("SELECT o_orderkey, round(CASE WHEN floor(o_totalprice)::BIGINT > 272000 THEN floor(o_totalprice)::BIGINT * 0.2 + 500 * 0.75 ELSE floor(o_totalprice)::BIGINT * 0.1 + 500 * 0.5 END / 1e6, 9) AS cost FROM orders")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import exact, semantic
+from ..operators.kept import keep
 from ..operators.provider import KINDS, Provider, Task
+from ..operators.record import Record
 
 Predicate = Column | str | Callable[[dict], Any]
 ColumnDefs = Sequence[dict[str, str]]
@@ -52,7 +55,15 @@ def _shown(value: Any) -> Any:
     if isinstance(value, list | tuple):
         return [_shown(v) for v in value]
     code = getattr(value, "__code__", None)
-    return f"{code.co_code.hex()}{code.co_consts}{code.co_names}" if code else str(value)
+    if code is None:
+        return str(value)
+    inner = [_shown_code(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts]
+    closed = [_shown(cell.cell_contents) for cell in value.__closure__ or ()]
+    return [code.co_code.hex(), inner, list(code.co_names), closed, _shown(value.__defaults__ or ())]
+
+
+def _shown_code(code: Any) -> Any:
+    return [code.co_code.hex(), [_shown_code(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts], list(code.co_names)]
 
 
 @dataclass(frozen=True)
@@ -141,7 +152,7 @@ class Pipeline:
         self._new(names)
         return self._with(Node("sem_map", {"cols": [dict(c) for c in cols], "model": model, "depends_on": list(depends_on), "skip_if": skip_if}), [*self.columns, *names])
 
-    def sem_join(self, other: Pipeline, condition: str, model: str = "rules", depends_on: Sequence[str] = (), blocking: Column | str | None = None, most_pairs: int | None = None) -> Pipeline:
+    def sem_join(self, other: Pipeline, condition: str, model: str = "rules", depends_on: Sequence[str] = (), blocking: Column | str | None = None, most_pairs: int | None = semantic.MOST_PAIRS) -> Pipeline:
         """A model verdict on every pair; ``blocking`` narrows the pairs by an exact condition first."""
         renamed = exact.joined_names(self.columns, other.columns)
         out = [*self.columns, *renamed.values()]
@@ -168,16 +179,17 @@ class Pipeline:
         if attributes["method"] not in ("embedding", "bm25"):
             raise ValueError("similarity is by embedding or bm25")
         self._known([*attributes["depends_on"], attributes["id_col"]], kind)
-        self._new(list(names))
+        names = [*names, *filter(None, [attributes.get("capture")])]
+        self._new(names)
         return self._with(Node(kind, attributes), [*self.columns, *names])
 
-    def rag_filter(self, condition: str, query: str, id_col: str, depends_on: Sequence[str], model: str = "rules", chunk_size: int | str = 20000, top: int | None = None, threshold: float | None = None, method: str = "bm25") -> Pipeline:
+    def rag_filter(self, condition: str, query: str, id_col: str, depends_on: Sequence[str], model: str = "rules", chunk_size: int | str = 20000, top: int | None = None, threshold: float | None = None, method: str = "bm25", skip_if: Predicate | None = None, capture: str | None = None) -> Pipeline:
         """``sem_filter`` on texts cut down to the chunks that fit the query; the rows keep their whole texts."""
-        return self._rag("rag_filter", {"condition": condition, "query": query, "id_col": id_col, "depends_on": list(depends_on), "model": model, "chunk_size": chunk_size, "top": top, "threshold": threshold, "method": method})
+        return self._rag("rag_filter", {"condition": condition, "query": query, "id_col": id_col, "depends_on": list(depends_on), "model": model, "chunk_size": chunk_size, "top": top, "threshold": threshold, "method": method, "skip_if": skip_if, "capture": capture})
 
-    def rag_map(self, cols: ColumnDefs, query: str, id_col: str, depends_on: Sequence[str], model: str = "rules", chunk_size: int | str = 20000, top: int | None = None, threshold: float | None = None, method: str = "bm25") -> Pipeline:
+    def rag_map(self, cols: ColumnDefs, query: str, id_col: str, depends_on: Sequence[str], model: str = "rules", chunk_size: int | str = 20000, top: int | None = None, threshold: float | None = None, method: str = "bm25", skip_if: Predicate | None = None, capture: str | None = None) -> Pipeline:
         """``sem_map`` on texts cut down to the chunks that fit the query; the rows keep their whole texts."""
-        return self._rag("rag_map", {"cols": [dict(c) for c in cols], "query": query, "id_col": id_col, "depends_on": list(depends_on), "model": model, "chunk_size": chunk_size, "top": top, "threshold": threshold, "method": method}, [c["name"] for c in cols])
+        return self._rag("rag_map", {"cols": [dict(c) for c in cols], "query": query, "id_col": id_col, "depends_on": list(depends_on), "model": model, "chunk_size": chunk_size, "top": top, "threshold": threshold, "method": method, "skip_if": skip_if, "capture": capture}, [c["name"] for c in cols])
 
     # extensions
 
@@ -210,19 +222,117 @@ class Pipeline:
             lines.append(f"  {name} [{node.fingerprint()}] {shown}")
         return "\n".join(lines)
 
-    def lower(self, provider: Provider | None = None, ignore_limits: bool = False, optimize: bool = True) -> DataFrame:
-        """The plan as a DataFrame. ``ignore_limits`` is for runs on a subset."""
+    def fingerprints(self) -> tuple[str, ...]:
+        """What the plan does, step by step, its branches included."""
+        return tuple(node.fingerprint() + "".join(f"<{id(o.source)}:{','.join(o.fingerprints())}>" for o in node.inputs) for node in self.nodes)
+
+    def lower(self, provider: Provider | None = None, ignore_limits: bool = False, optimize: bool = True, record: Record | None = None) -> DataFrame:
+        """The plan as a DataFrame. ``ignore_limits`` is for runs on a subset; ``record`` notes what each operator does when it runs.
+
+        A step that asks a costly model and is read twice, as the two sides of a self-join or the rows beside
+        a group's answer are, runs once: its rows are written to the shared folder and read from there.
+        """
+        return _Lowering(self, provider, ignore_limits, optimize, record).run()
+
+
+class _Lowering:
+    """One lowering of a plan; holds the steps whose rows are kept."""
+
+    def __init__(self, plan: Pipeline, provider: Provider | None, ignore_limits: bool, optimize: bool, record: Record | None):
         from .rules import rewrite
 
-        plan = rewrite(self) if optimize else self
-        df = plan.source
-        for node in plan.nodes:
-            df = _lower(df, node, provider, ignore_limits)
-        df = df.select(*[F.col(f"`{c}`") for c in self.columns])
-        first = next((n.attributes["n"] for n in self.nodes if n.kind == "limit"), None)
+        self.rewrite = rewrite if optimize else lambda p: p
+        self.plan, self.provider, self.ignore_limits, self.record = plan, provider, ignore_limits, record
+        self.costly = provider is not None and getattr(provider, "costly", True)
+        self.held: dict[tuple, DataFrame] = {}
+        self.reads: Counter[tuple] = Counter()
+        if self.costly:
+            self._count(self.rewrite(plan))
+
+    def _count(self, plan: Pipeline) -> None:
+        """How often the rows after each step are read: by its next step, and by every branch that goes through it."""
+        steps = plan.fingerprints()
+        for k, node in enumerate(plan.nodes):
+            self.reads[(id(plan.source), steps[: k + 1])] += 1
+            for other in node.inputs:
+                self._count(self.rewrite(other))
+
+    def run(self) -> DataFrame:
+        df = self._lower(self.plan)
+        df = df.select(*[F.col(f"`{c}`") for c in self.plan.columns])
+        first = next((n.attributes["n"] for n in self.plan.nodes if n.kind == "limit"), None)
         # the first limit also ends the run: whatever later operators multiply, no more rows come out
-        multiplies = any(n.kind in ("join", "sem_join", "sem_agg", "union") for n in self.nodes)
-        return df.limit(first) if first is not None and multiplies and not ignore_limits else df
+        multiplies = any(n.kind in ("join", "sem_join", "sem_agg", "union") for n in self.plan.nodes)
+        return df.limit(first) if first is not None and multiplies and not self.ignore_limits else df
+
+    def _lower(self, plan: Pipeline) -> DataFrame:
+        wanted = plan.columns
+        plan = self.rewrite(plan)
+        df, steps, asked = plan.source, plan.fingerprints(), False
+        done = next((k for k in range(len(steps), 0, -1) if (id(plan.source), steps[:k]) in self.held), 0)
+        if done:
+            df = self.held[(id(plan.source), steps[:done])]
+        for k, node in enumerate(plan.nodes):
+            asked = asked or node.semantic or any(n.semantic for o in node.inputs for _, n in o.steps())
+            if k < done:
+                continue
+            key = (id(plan.source), steps[: k + 1])
+            if node.kind == "sem_agg" and node.attributes["keep_inputs"] and self.costly and any(n.semantic for n in plan.nodes[:k]):
+                df = keep(df)  # its rows are read by the groups and beside their answers
+            df = self._step(df, node, f"{plan.name}_op{k}_{node.kind}")
+            # of a shared beginning only its last step, after which the readers part, is kept
+            further = (id(plan.source), steps[: k + 2])
+            if self.costly and asked and self.reads[key] > 1 and (k + 1 == len(plan.nodes) or self.reads[further] < self.reads[key]):
+                df = self.held[key] = keep(df)
+        return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+    def _branch(self, node: Node) -> DataFrame:
+        return self._lower(node.inputs[0])
+
+    def _step(self, df: DataFrame, node: Node, name: str) -> DataFrame:
+        a, provider = node.attributes, self.provider
+        if node.semantic and provider is None:
+            raise ValueError(f"{node.kind} needs a provider")
+        task = lambda kind, text, outputs=(): Task(kind, text, tuple(outputs), tuple(a.get("depends_on", ())), a.get("model", "rules"))
+        watch = self.record.of_rows(name, node) if self.record else None
+        watch_answers = self.record.of_answers(name, node) if self.record else semantic.unwatched
+        match node.kind:
+            case "project":
+                return df.select(*[F.col(f"`{c}`") for c in a["cols"]])
+            case "filter":
+                return exact.filter_rows(df, a["predicate"], watch)
+            case "map":
+                return exact.map_rows(df, a["columns"], a["cols"], watch)
+            case "add_col_suffix":
+                return df.withColumnsRenamed({c: c + a["suffix"] for c in df.columns})
+            case "join":
+                return exact.join_rows(df, self._branch(node), a["on"])
+            case "groupby":
+                return exact.group_rows(df, a["fields"], a["funcs"], a["agg_fields"])
+            case "limit":
+                return df if self.ignore_limits else (df.orderBy(*a["order_by"]) if a["order_by"] else df).limit(a["n"])
+            case "sort":
+                return df.orderBy(*a["order"])
+            case "union":
+                return df.unionByName(self._branch(node))
+            case "distinct":
+                return df.distinct()
+            case "sem_filter":
+                return semantic.sem_filter(df, provider, task("filter", a["condition"]), a["skip_if"], watch_answers)
+            case "sem_map":
+                return semantic.sem_map(df, provider, task("map", "", output_defs(a["cols"])), a["skip_if"], watch_answers)
+            case "sem_join":
+                left, right = df, self._branch(node)
+                if self.costly and a["blocking"] is None and a["most_pairs"] is not None:  # their rows are counted first
+                    left, right = keep(left), keep(right)
+                return semantic.sem_join(left, right, provider, task("join", a["condition"]), a["blocking"], a["most_pairs"], watch_answers)
+            case "sem_agg":
+                return semantic.sem_agg(df, provider, task("agg", a["instruction"], output_defs(a["cols"])), a["group_by"], a["one_to_many"], a["keep_inputs"], watch_answers)
+            case "rag_filter":
+                return semantic.rag_filter(df, provider, task("filter", a["condition"]), a, watch_answers)
+            case "rag_map":
+                return semantic.rag_map(df, provider, task("map", "", output_defs(a["cols"])), a, watch_answers)
+        raise ValueError(f"unknown operator {node.kind}")
 
 
 def output_defs(cols: ColumnDefs) -> tuple[tuple[str, str, str], ...]:
@@ -232,47 +342,6 @@ def output_defs(cols: ColumnDefs) -> tuple[tuple[str, str, str], ...]:
     return tuple((c["name"], c.get("type", "str"), c.get("description", c["name"])) for c in cols)
 
 
-def _lower(df: DataFrame, node: Node, provider: Provider | None, ignore_limits: bool) -> DataFrame:
-    a = node.attributes
-    if node.semantic and provider is None:
-        raise ValueError(f"{node.kind} needs a provider")
-    task = lambda kind, text, outputs=(): Task(kind, text, tuple(outputs), tuple(a.get("depends_on", ())), a.get("model", "rules"))
-    match node.kind:
-        case "project":
-            return df.select(*[F.col(f"`{c}`") for c in a["cols"]])
-        case "filter":
-            return exact.filter_rows(df, a["predicate"])
-        case "map":
-            return exact.map_rows(df, a["columns"], a["cols"])
-        case "add_col_suffix":
-            return df.withColumnsRenamed({c: c + a["suffix"] for c in df.columns})
-        case "join":
-            return exact.join_rows(df, node.inputs[0].lower(provider, ignore_limits), a["on"])
-        case "groupby":
-            return exact.group_rows(df, a["fields"], a["funcs"], a["agg_fields"])
-        case "limit":
-            return df if ignore_limits else (df.orderBy(*a["order_by"]) if a["order_by"] else df).limit(a["n"])
-        case "sort":
-            return df.orderBy(*a["order"])
-        case "union":
-            return df.unionByName(node.inputs[0].lower(provider, ignore_limits))
-        case "distinct":
-            return df.distinct()
-        case "sem_filter":
-            return semantic.sem_filter(df, provider, task("filter", a["condition"]), a["skip_if"])
-        case "sem_map":
-            return semantic.sem_map(df, provider, task("map", "", output_defs(a["cols"])), a["skip_if"])
-        case "sem_join":
-            return semantic.sem_join(df, node.inputs[0].lower(provider, ignore_limits), provider, task("join", a["condition"]), a["blocking"], a["most_pairs"])
-        case "sem_agg":
-            return semantic.sem_agg(df, provider, task("agg", a["instruction"], output_defs(a["cols"])), a["group_by"], a["one_to_many"], a["keep_inputs"])
-        case "rag_filter":
-            return semantic.rag_filter(df, provider, task("filter", a["condition"]), a)
-        case "rag_map":
-            return semantic.rag_map(df, provider, task("map", "", output_defs(a["cols"])), a)
-    raise ValueError(f"unknown operator {node.kind}")
-
-
 def column_metadata(df: DataFrame, descriptions: dict[str, str]) -> DataFrame:
     """Attach descriptions to columns, as schema metadata that travels with the plan."""
     for name, text in descriptions.items():

@@ -11,7 +11,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.metrics import Price
 from ..operators.provider import Provider
+from ..operators.record import Record
 from .pipeline import Pipeline
 
 
@@ -21,22 +23,30 @@ class Registry:
 
     plans: dict[str, Pipeline] = field(default_factory=dict)
     rows: list[dict[str, Any]] = field(default_factory=list)
+    prices: dict[str, Price] = field(default_factory=dict)
+    #: What is stored beside a row but not shown to whoever compares plans.
+    hidden: tuple[str, ...] = ("quality_judge_cost",)
 
-    def write(self, plan: Pipeline, description: str = "") -> None:
+    def write(self, plan: Pipeline, description: str = "", optimizations: Sequence[str] = ()) -> list[str]:
         if not isinstance(plan, Pipeline):
             raise TypeError("a plan must be a Pipeline")
         self.plans[plan.name] = plan
-        self.rows.append({"plan_name": plan.name, "op_type": "write", "description": description, "plan_str": plan.explain()})
+        self.rows.append({"plan_name": plan.name, "op_type": "write", "description": description, "optimizations": list(optimizations), "plan_str": plan.explain()})
+        return [] if optimizations else [f"{plan.name}: no optimizations are recorded"]
 
     def execute(self, name: str, provider: Provider, evaluate: Callable[[DataFrame], float], price: Callable[[Pipeline], float] = lambda p: 0.0, executions: int = 1) -> dict[str, Any]:
         """Run a plan on its (subset) source without limits and score it; one row an execution, one of means."""
         plan, runs = self.plans[name], []
         for n in range(executions):
             began = time.time()
-            out = plan.lower(provider, ignore_limits=True).persist()
+            record = Record(self.prices)
+            out = plan.lower(provider, ignore_limits=True, record=record).persist()
+            out.count()
             quality = evaluate(out)
             out.unpersist()
-            runs.append({"plan_name": name, "op_type": "execute", "execution": n + 1, "quality": quality, "cost_usd": price(plan), "wall_latency_s": time.time() - began})
+            operators = record.rows()
+            cost = sum(r["cost_usd"] for r in operators) if self.prices else price(plan)
+            runs.append({"plan_name": name, "op_type": "execute", "execution": n + 1, "quality": quality, "cost_usd": cost, "wall_latency_s": time.time() - began, "operators": operators, "op_errors": {r["op_name"]: r["num_errors"] for r in operators if r["num_errors"]}})
         self.rows += runs
         figures = {}
         for key, label in (("quality", "quality"), ("cost_usd", "cost"), ("wall_latency_s", "latency_wallclock")):
@@ -44,6 +54,10 @@ class Registry:
             figures |= {f"{label}_avg": mean(values), f"{label}_std": stdev(values) if len(values) > 1 else None}
         return {"plan_name": name, **figures}
 
+    def summary(self) -> list[dict[str, Any]]:
+        """The rows as they are shown."""
+        return [{k: v for k, v in r.items() if k not in self.hidden and k != "operators"} for r in self.rows]
+
     def frontier(self) -> list[str]:
         """Executed plans that no other beats on quality at equal or lower cost."""
         done: dict[str, tuple[float, float]] = {}

@@ -56,7 +56,7 @@ def subset(dataset: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     missing = wanted.join(keyed.select("__id"), "__id", "left_anti")
     if lost := [r[0] for r in missing.limit(5).collect()]:
         raise ValueError(f"the dataset lacks ids of the subset: {lost}")
-    rows = keyed.join(F.broadcast(wanted), "__id")
+    rows = keyed.join(wanted, "__id")  # small subsets are broadcast by their measured size
     first = F.row_number().over(Window.partitionBy("__id").orderBy(*[F.col(f"`{c}`") for c in dataset.columns if not isinstance(dataset.schema[c].dataType, T.MapType)]))
     return rows.withColumn("__n", first).filter("__n = 1").drop("__n", "__id").orderBy("_pos")
 
@@ -67,6 +67,19 @@ def with_images(df: DataFrame, id_col: str, folder: str, column: str = "image")
     return df.withColumn(column, path).withMetadata(column, {"modality": "image"})
 
 
+def with_image_bytes(df: DataFrame, column: str, folder: str) -> DataFrame:
+    """The path column replaced by the images' bytes, still marked as images; null where there is no file."""
+    found = image_bytes(df.sparkSession, folder).select(F.concat("id", F.lit(".jpg")).alias("__file"), F.col("content").alias("__bytes"))
+    named = df.withColumn("__file", F.regexp_extract(F.col(f"`{column}`"), r"([^/]+)$", 1))
+    joined = named.join(found, "__file", "left").drop("__file")
+    return joined.withColumn(column, F.col("__bytes")).drop("__bytes").withMetadata(column, {"modality": "image"})
+
+
+def explore(dataset: DataFrame, ids: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
+    """The whole table for aggregates, or the rows of a subset."""
+    return dataset if ids is None else subset(dataset, ids, id_col or dataset.columns[0])
+
+
 def image_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).select(F.regexp_extract("path", r"([^/]+)\.jpg$", 1).alias("id"), "path", "content")
 

@@ -57,6 +57,6 @@ def test_a_passage_is_found_wherever_it_stands(spark, tmp_path):
             if w & v:
                 jaccard[d, b] = round(len(w & v) / len(w | v), 6)
                 quote[d, b] = 1.0 if len(t.split()) <= 60 and len(v) >= 5 and len(w & v) / len(v) >= 0.9 else jaccard[d, b]
-    for name, wanted in (("token_jaccard_all", jaccard), ("quote_score_all", quote)):
+    for name, wanted in (("token_jaccard", jaccard), ("quote_score", quote)):
         assert {(r.doc_id, r.item_id): r.score for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == wanted
     assert (1, 7) in jaccard and quote[2, 7] == 1.0
