@@ -18,13 +18,15 @@ _ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor sees.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder of this machine serves.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on one
+    machine, as in tests, a temporary folder of this machine serves.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="semloom-")
         _ROOTS[app] = f"{base.rstrip('/')}/semloom-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
@@ -33,9 +35,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     except Exception:  # the session has ended already: its folder goes with the cluster's own clean-up
         return
 
@@ -45,7 +45,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return held_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def held_at(df: DataFrame, path: str | None) -> DataFrame:
+    """Note the folder of the one intermediate table that a frame reads."""
+    df.__dict__["_held_at"] = path
+    return df
+
+
+def place_of(df: DataFrame) -> str | None:
+    return df.__dict__.get("_held_at")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete an intermediate table that nothing will read again."""
+    if path := place_of(df):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

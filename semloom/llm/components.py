@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, held_at, materialize, place_of
 
 
 def _forest(batches):
@@ -47,19 +47,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "hook")
-        while True:
+        moved = True
+        while moved:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            hook = materialize(hook.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("next"), "root"), "hook")
-            moved = not hook.filter("next <> root").isEmpty()
-            hook = hook.select("node", F.col("next").alias("root"))
-            if not moved:
-                break
+            further = materialize(hook.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("next"), "root"), "hook")
+            moved = not further.filter("next <> root").isEmpty()
+            discard(hook)
+            hook = held_at(further.select("node", F.col("next").alias("root")), place_of(further))
+        to_a = hook.select(F.col("node").alias("a"), F.col("root").alias("x"))
+        to_b = hook.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        left = materialize(links.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(_forest, "a long, b long"), "links")
+        discard(links)
+        links = left
         if label is None:
             label = hook
         else:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            label = materialize(label.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
-        to_a = hook.select(F.col("node").alias("a"), F.col("root").alias("x"))
-        to_b = hook.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        links = materialize(links.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(_forest, "a long, b long"), "links")
+            new = materialize(label.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+            for used in (label, hook):
+                discard(used)
+            label = new
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if label is None else label

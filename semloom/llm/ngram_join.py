@@ -3,20 +3,21 @@
 Method. Every text becomes the set of its five-word shingles (64-bit hashes). Shingles follow one
 global order: those that are frequent in some part of the corpus come last, each kind by hash. Two sets
 of Jaccard similarity t share a member among the first ``n - ceil(t n) + 1`` of either, so only sets that
-meet in such a prefix can be linked. Candidates are verified in prefix trees: the ordered sets that meet
-a probing set are stored in a path-compressed trie, a traversal carries the overlap counted so far down
-shared paths, and a subtree is left as soon as that overlap plus what can remain cannot reach the least
-overlap any set below needs.
-
-Whole results without all pairs of a group. Equal sets are one class from the start. A first round
-verifies neighbours only (in each prefix group, ordered by size), which joins most copies of a group into
-one component. A second round takes every remaining pair that meets in a prefix and lies in two different
-components, or to count links every remaining pair. For components alone a pair inside one needs no check,
-since its link could not change a component. A candidate pair must share as many prefix members as linked sets of their sizes do, or it goes unverified. No
-group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
+meet in such a prefix can be linked. Prefixes say which sets are to meet; the join itself is made in prefix
+trees: the ordered sets that may be linked are stored in a path-compressed trie, a traversal carries the
+overlaps counted so far down shared paths, and a subtree is left as soon as the overlap plus what can
+remain cannot reach the least overlap any set below needs.
+
+Whole results without all pairs of a group. Equal sets are one class from the start. Classes that share a
+prefix member are joined pair by pair where few hold it; a pair must share as many prefix members as linked
+sets of their sizes do. Classes with a member that many hold get their prefix once more in an order where
+such members come last: two of them that are linked share a member of those prefixes too. Where many hold
+one even then, as in groups of near copies, it joins them itself. The components of all these are clusters, so all links lie within clusters. Each set of a cluster is sent once to the trie that joins it, or
+once per block of BLOCK sets where a cluster is larger; blocks emit star forests and numbers of links, never
+all their pairs. No group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
 
 Scale. Texts are read once for each of four scans and never shuffled; what moves are prefix entries (about
-a quarter of the shingles) and the sets of classes in candidate pairs. Prefix entries of frequent shingles are salted.
+a quarter of the shingles) and the sets of clusters. Prefix entries of frequent shingles are salted.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_partitions
-from .components import _forest, connected_components
+from .common import discard, materialize, read_table, shuffle_partitions
+from .components import connected_components
 
 #: Shingles in the order table, the most frequent ones; it only orders, so results do not depend on it.
 ORDER_LIMIT = 400_000
 #: A shingle is frequent if so many texts of some stretch of a million shingles hold it.
 FREQUENT, STRETCH = 3, 1_000_000
-#: Prefix groups of up to so many classes are joined pair by pair; the classes of larger ones meet in tries, block by block.
+#: Prefix groups of up to so many classes make pairs; those of larger ones form clusters through their shingle. Sets in a block of a cluster.
 SMALL_GROUP, BLOCK = 48, 512
 #: Bytes of the filter that says which sets may be needed; past its capacity more sets move, none fewer.
 FILTER_BITS = 1 << 24
@@ -112,7 +113,9 @@ def ordered(members: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.nda
     return v
 
 
-def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int):
+def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int, late: np.ndarray | None = None, wanted: np.ndarray | None = None):
+    """Prefix entries (token, class, size); ``late`` shingles come after all others, ``wanted`` is the filter of the classes to go on with."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -120,9 +123,12 @@ def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int):
         for _, sets in _sets(batches):
             parts, ids, sizes = [], [], []
             for s in sets:
-                if len(s) and (c := class_id(s)) not in seen:
+                if len(s) and (c := class_id(s)) not in seen and (wanted is None or _passes(wanted, c)):
                     seen.add(c)
                     v = ordered(s, hot)
+                    if late is not None and len(late):
+                        last = late[np.minimum(np.searchsorted(late, v), len(late) - 1)] == v
+                        v = np.concatenate([v[~last], v[last]])
                     parts.append(v[: len(v) - -(-percent * len(v) // 100) + 1])
                     ids.append(c)
                     sizes.append(len(v))
@@ -130,48 +136,62 @@ def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int):
                 seen.clear()
             if parts:
                 counts = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))], names=["token", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["token", "cls", "n"])
 
     return run
 
 
-def _meet(batches):
-    """Of sorted prefix entries keep those that share a token with another class, each with its predecessor in the group."""
-    import pyarrow as pa
-
-    def columns(t):
-        return [t.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-
-    carry = None  # the last entry, whose successor is still unknown
-    last_kept = False
-    for batch in chain(batches, [None]):
-        if batch is not None and not batch.num_rows:
-            continue
-        if batch is None:
-            if carry is None:
-                return
-            cols = carry
-        else:
-            cols = columns(batch) if carry is None else [np.concatenate(x) for x in zip(carry, columns(batch), strict=True)]
-        token, cls, n, pos = cols
-        same = np.zeros(len(token), bool)  # the same class again, from another task
-        same[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
-        token, cls, n, pos = (x[~same] for x in (token, cls, n, pos))
-        joined = token[1:] == token[:-1]
-        before = np.concatenate([[last_kept], joined])
-        after = np.concatenate([joined, [False]])
-        upto = len(token) if batch is None else len(token) - 1
-        keep = (before | after | (token >= SALTED))[:upto]  # salted groups may go on in another task
-        prev = np.concatenate([[0 if carry is None else carry_prev[0]], cls[:-1]])
-        prev_n = np.concatenate([[0 if carry is None else carry_prev[1]], n[:-1]])
-        prev_pos = np.concatenate([[0 if carry is None else carry_prev[2]], pos[:-1]])
-        if keep.any():
-            absent = ~before[:upto][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:upto][keep]) for x in (token, cls, n, pos)] + [pa.array(x[:upto][keep].astype(t), mask=absent) for x, t in ((prev, np.int64), (prev_n, np.int32), (prev_pos, np.int32))], names=["token", "cls", "n", "pos", "prev", "prev_n", "prev_pos"])
-        if batch is not None:
-            carry = [x[-1:] for x in (token, cls, n, pos)]
-            last_kept = bool(before[-1])
-            carry_prev = (prev[-1], prev_n[-1], prev_pos[-1])
+def _meet(percent: int, small_group: int):
+    """Of prefix entries sorted by (token, n, cls): pairs (a, b, sizes, false) of small groups, and of large groups (class, token, null, null, true).
+
+    A group has no pairs of classes whose sizes alone rule out a link. Groups may go on over batches: the last
+    one is held back until its end or until it is large, so no more than a batch and a small group are held.
+    """
+
+    def groups(token, cls, n, large):
+        """Arrays of the rows that these whole groups give; those of ``large`` tokens do so whatever their size."""
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
+        hub = (size > small_group) | (token >= SALTED) | np.isin(token, large)  # salted groups may go on in another task
+        out = [(cls[hub], token[hub], None, None)]
+        token, cls, n = token[~hub], cls[~hub], n[~hub]
+        for d in range(1, small_group):
+            at = np.flatnonzero(token[d:] == token[:-d])
+            if not len(at):
+                break
+            at = at[100 * n[at].astype(np.int64) >= percent * n[at + d].astype(np.int64)]  # sorted by size: the later is the larger
+            x, y, swap = cls[at], cls[at + d], cls[at] > cls[at + d]
+            out.append((np.where(swap, y, x), np.where(swap, x, y), np.where(swap, n[at + d], n[at]), np.where(swap, n[at], n[at + d])))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, large = None, [-1, -1]  # the last two tokens whose group was given out before its end
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                token, cls, n = held
+                end = len(token)
+            else:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                if not len(cols[0]):
+                    continue
+                token, cls, n = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+                same = np.zeros(len(token), bool)  # the same class again, from another task
+                same[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
+                token, cls, n = token[~same], cls[~same], n[~same]
+                end = int(np.searchsorted(token, token[-1]))  # the last group may go on
+                if len(token) - end > small_group or token[-1] == large[1]:
+                    large, end = [large[1], token[-1]], len(token)
+            rows = [r for r in groups(token[:end], cls[:end], n[:end], large) if len(r[0])] if end else []
+            held = [x[end:] for x in (token, cls, n)] if end < len(token) else None
+            for a, b, n_a, n_b in rows:
+                sizes = [pa.nulls(len(a), pa.int32())] * 2 if n_a is None else [pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *sizes, pa.array(np.full(len(a), n_a is None))], names=["a", "b", "n_a", "n_b", "hub"])
+
+    return run
 
 
 class Trie:
@@ -190,40 +210,6 @@ class Trie:
         different = np.flatnonzero(a[:k] != b[:k])
         return int(different[0]) if len(different) else k
 
-    def search(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the stored sets whose similarity to the probe reaches percent / 100."""
-        found, n = [], len(probe)
-        stack = [(0, len(self.sets), 0, 0)]
-        while stack:
-            lo, hi, depth, overlap = stack.pop()
-            sizes = self.sizes[lo:hi]
-            least = _needed(n, int(sizes.min()), percent)
-            end = min(self.shared[lo : hi - 1], default=len(self.sets[lo]))
-            pruned = False
-            for a in range(depth, end, 64):  # along the edge, leaving it as soon as the bound fails
-                edge = self.sets[lo][a : min(a + 64, end)]
-                at = np.searchsorted(probe, edge)
-                overlap += int((probe[np.minimum(at, n - 1)] == edge).sum())
-                left = n - int(np.searchsorted(probe, edge[-1], "right"))
-                if overlap + min(left, int(sizes.max()) - a - len(edge)) < least:
-                    pruned = True
-                    break
-            if pruned:
-                continue
-            while lo < hi and len(self.sets[lo]) == end:  # sets that end at this node come first
-                if overlap >= _needed(n, end, percent):
-                    found.append(self.ids[lo])
-                lo += 1
-                if lo < hi and self.shared[lo - 1] < end:
-                    break
-            start = lo
-            for i in range(lo, hi):
-                if i == hi - 1 or self.shared[i] <= end:
-                    stack.append((start, i + 1, end, overlap))
-                    start = i + 1
-        return found
-
-
     def search_many(self, probes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         """(stored set, probe) numbers of all linked pairs; one traversal carries the overlaps of all probes together."""
         universe = np.unique(np.concatenate(self.sets))
@@ -270,82 +256,61 @@ class Trie:
         return out
 
 
-def _blocks(percent: int, count: bool = False):
+def _stars(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """(member, least member) of the components of the pairs among ``size`` numbers, the least members themselves left out."""
+    parent = list(range(size))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in pairs:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return [(x, r) for x in range(size) if (r := root(x)) != x]
+
+
+def _blocks(percent: int):
     def run(batches):
         """Sorted rows (cluster, block, other block, whether of the other one, class, rows of the class, members): links of each two blocks.
 
-        Rows (a, b, null) connect what is linked; with ``count`` a row (a, null, n) says that class a is linked with
-        classes of n rows in all here.
+        Rows (a, b, null) connect what is linked, no more of them than members; a row (a, null, n) says that class
+        a is linked with classes of n rows in all here.
         """
         import pyarrow as pa
 
         key, ids, sets, weights = None, ([], []), ([], []), ([], [])
 
-        def counted(pairs):
-            for mine, other in ((0, 1), (1, 0)) if key[1] != key[2] else ((0, 0),):
-                n = np.zeros(len(ids[mine]), np.int64)
-                for pair in pairs:  # within a block each pair comes in both orders
-                    x, y = pair[mine], pair[1 - mine]
-                    if mine != other or x != y:
-                        n[x] += weights[other][y]
-                linked = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[mine], np.int64)[linked]), pa.nulls(len(linked), pa.int64()), pa.array(n[linked])], names=["a", "b", "n"])
-
         def flush():
-            left, right = (sets[0], sets[1] if key[1] != key[2] else sets[0])
-            pairs = Trie(left).search_many(right, percent) if left and right else []
-            other = ids[1] if key[1] != key[2] else ids[0]
-            a = np.array([ids[0][i] for i, _ in pairs], np.int64)
-            b = np.array([other[j] for _, j in pairs], np.int64)
-            links = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            for forest in _forest([links]):  # enough to connect them; so no more rows than members leave a block
-                yield pa.RecordBatch.from_arrays([*forest.columns, pa.nulls(forest.num_rows, pa.int64())], names=["a", "b", "n"])
-            if count:
-                yield from counted(pairs)
+            alone = key[1] == key[2]
+            right = 0 if alone else 1
+            pairs = Trie(sets[0]).search_many(sets[right], percent) if sets[0] and sets[right] else []
+            shift = 0 if alone else len(ids[0])
+            pairs = [(x, y + shift) for x, y in pairs if not alone or x < y]  # within a block each pair comes in both orders
+            cls, weight = np.array(ids[0] + ids[1], np.int64), np.array(weights[0] + weights[1], np.int64)
+            stars = np.array(_stars(pairs, len(cls)), np.int64).reshape(-1, 2)
+            n = np.zeros(len(cls), np.int64)
+            if pairs:
+                x, y = np.array(pairs).T
+                np.add.at(n, x, weight[y])
+                np.add.at(n, y, weight[x])
+            linked = np.flatnonzero(n)
+            a = pa.array(np.concatenate([cls[stars[:, 0]], cls[linked]]))
+            b = pa.concat_arrays([pa.array(cls[stars[:, 1]]), pa.nulls(len(linked), pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(stars), pa.int64()), pa.array(n[linked])])], names=["a", "b", "n"])
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
             for root, i, j, second, cls, weight, members in zip(*cols, batch.column(6), strict=True):
                 if (root, i, j) != key:
                     if key is not None:
-                        yield from flush()
+                        yield flush()
                     key, ids, sets, weights = (root, i, j), ([], []), ([], []), ([], [])
                 ids[second].append(cls)
                 weights[second].append(weight)
                 sets[second].append(np.frombuffer(members.as_py(), np.int64))
         if key is not None:
-            yield from flush()
-
-    return run
-
-
-def _verify(percent: int, block: int = 256):
-    def run(batches):
-        """Sorted rows (x, members of x or null, y, members of y): the probe's own row leads its candidates."""
-        import pyarrow as pa
-
-        x, probe, ys, sets = None, None, [], []
-
-        def flush():
-            hits = Trie(sets).search(probe, percent) if sets and probe is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([x] * len(hits), pa.int64()), pa.array([ys[i] for i in hits], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for key, other, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if key != x:
-                    if ys:
-                        yield flush()
-                    x, probe, ys, sets = key, None, [], []
-                values = np.frombuffer(members.as_py(), np.int64)
-                if other is None:
-                    probe = values
-                    continue
-                ys.append(other)
-                sets.append(values)
-                if len(ys) >= block:
-                    yield flush()
-                    ys, sets = [], []
-        if ys:
             yield flush()
 
     return run
@@ -361,75 +326,67 @@ def _filter_table(classes: DataFrame) -> np.ndarray:
     return table
 
 
+def _passes(table: np.ndarray, cls: int) -> bool:
+    return bool(table[(slot := cls % FILTER_BITS) >> 6] >> (slot & 63) & 1)
+
+
 def _scan_sets(hot: tuple[np.ndarray, np.ndarray], table: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
         for _, sets in _sets(batches):
             rows = {class_id(s): s for s in sets if len(s)}
-            rows = {c: s for c, s in rows.items() if table[(slot := c % FILTER_BITS) >> 6] >> (slot & 63) & 1}
+            rows = {c: s for c, s in rows.items() if _passes(table, c)}
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([ordered(s, hot).tobytes() for s in rows.values()], pa.binary())], names=["cls", "members"])
 
     return run
 
 
-def _needed_sets(classes: DataFrame, text: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``cls, members`` of the given classes, from the texts; other sets do not leave the scan."""
-    sets = text.mapInArrow(_scan_sets(hot, _filter_table(classes)), "cls long, members binary")
-    return materialize(sets.groupBy("cls").agg(F.first("members").alias("members")), "sets")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Which candidate pairs (a, b) are linked. Rows of a pair carry one set; the probe's goes along once."""
-    y = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "members")
-    x = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("x"), F.lit(None).cast("long").alias("y"), "members")
-    rows = y.unionByName(x).repartition(shuffle_partitions(pairs.sparkSession), "x").sortWithinPartitions(F.col("x"), F.col("y").asc_nulls_first())
-    return rows.mapInArrow(_verify(percent), "a long, b long")
-
-
-def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, count: bool) -> DataFrame:
-    """Links within ``clusters(cls, root, weight)``, whose members are dealt to blocks; each two blocks meet in one task."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
-    dealt = clusters.join(sizes, "root").select("root", "cls", "weight", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls", "weight")
-    rows = dealt.join(sets, "cls").select("root", "i", "j", "second", "cls", "weight", "members")
-    rows = rows.repartition(shuffle_partitions(clusters.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
-    return rows.mapInArrow(_blocks(percent, count), "a long, b long, n long")
-
-
-def _apart(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Pairs that do not lie in one cluster, whose pairs all meet in blocks."""
-    ends = [clusters.select(F.col("cls").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("not (root_a <=> root_b) or root_a is null").select("a", "b")
+def _met(text: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray], late: np.ndarray | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """What the prefix groups of the texts give, as ``_meet`` says. Entries of very frequent shingles are dealt out with a salt."""
+    salt = F.when(F.col("token") >= SALTED, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0))
+    entries = text.mapInArrow(_scan_prefixes(hot, percent, late, wanted), "token long, cls long, n int")
+    dealt = entries.repartition(shuffle_partitions(text.sparkSession), "token", salt).sortWithinPartitions("token", salt, "n", "cls").select("token", "cls", "n")
+    return materialize(dealt.mapInArrow(_meet(percent, SMALL_GROUP), "a long, b long, n_a int, n_b int, hub boolean"), "met")
 
 
-def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose prefixes share as many members as those of any linked pair.
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose prefixes can share as many members as those of any linked pair.
 
     Of the overlap at most ``ceil(t max(n, m)) - 1`` members lie behind the prefix that ends first, so the
-    rest of the least overlap is common to both prefixes. A prefix has no more members than its text has words.
+    rest of the least overlap is common to both prefixes. Members of large groups, which make no pairs, count
+    as shared wherever both sets have some.
     """
-    left = pairs.join(prefixes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
-    both = left.join(prefixes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
+    pairs = met.filter("not hub").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    hubs = met.filter("hub").groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("k"))
+    for end in "ab":
+        pairs = pairs.join(hubs.withColumnsRenamed({"cls": end, "k": f"k_{end}"}), end, "left")
     least = -F.floor(-percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) + F.lit(1e-9))
     behind = -F.floor(-percent * F.greatest("n_a", "n_b") / F.lit(100.0) + F.lit(1e-9)) - 1
-    return both.filter(F.size(F.array_intersect("t_a", "t_b")) >= least - behind).select("a", "b")
+    return pairs.filter(F.col("shared") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= least - behind).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, percent: int = 75, count: bool = False) -> DataFrame:
-    """Similarity classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, class_id, component_id``, a row per input row.
+def _cluster_links(clusters: DataFrame, text: DataFrame, hot: tuple[np.ndarray, np.ndarray], percent: int, block: int) -> DataFrame:
+    """Links within ``clusters(cls, root, weight, m)``, whose members are dealt to blocks; each two blocks meet in one task.
 
-    With ``count`` also ``n_links``: with how many other rows a row is linked, those of its own class included.
-    Then every pair that can be linked is verified, inside components too.
+    Sets come from the texts; others do not leave the scan. A set of a cluster of one block moves once.
+    """
+    parts = shuffle_partitions(clusters.sparkSession)
+    sets = text.mapInArrow(_scan_sets(hot, _filter_table(clusters)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
+    rows = clusters.join(sets, "cls").select("root", "cls", "weight", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls", "weight", "members")
+    rows = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
+    return rows.mapInArrow(_blocks(percent), "a long, b long, n long")
+
+
+def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Similarity classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, class_id, component_id, n_links``, a row per input row.
 
     ``class_id`` is the same for texts of equal shingle sets; ``component_id`` is the smallest doc_id
-    reachable by links. Null or empty texts have no shingles and are linked with nothing: their component
+    reachable by links; ``n_links`` says with how many other rows a row is linked, those of its own class
+    included. Null or empty texts have no shingles and are linked with nothing: their component
     is their own doc_id, their class null. Rows without a doc_id are members like others but never name a
     component (null if no member has one). Repeated rows are members of one class. Very long texts are
     taken whole. Other columns are not looked at. An empty table gives an empty one.
@@ -443,62 +400,39 @@ def ngram_components(docs: DataFrame, percent: int = 75, count: bool = False) ->
     hot = order_table(frequent["cls"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
 
     text = docs.select("text")
-    salt = F.when(F.col("token") >= SALTED, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0))
-    entries = text.mapInArrow(_scan_prefixes(hot, percent), "token long, cls long, n int, pos int")
-    sorted_entries = entries.repartition(shuffle_partitions(spark), "token", salt).sortWithinPartitions("token", salt, "n", "cls").select("token", "cls", "n", "pos")
-    met = materialize(sorted_entries.mapInArrow(_meet, "token long, cls long, n int, pos int, prev long, prev_n int, prev_pos int"), "met")
-
-    def possible(n, m, i, j):
-        """Whether sets of n and m members whose first common member stands at i and j can be linked."""
-        least = F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= least)
-
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    near = met.filter(F.col("prev").isNotNull() & possible(F.col("n"), F.col("prev_n"), F.col("pos"), F.col("prev_pos"))).select(*pair(F.col("cls"), F.col("prev"))).distinct()
-    near = materialize(near, "near-pairs")
-    entry = F.struct("token", "pos")
-    prefixes = materialize(met.groupBy("cls", "n").agg(F.collect_list(entry).alias("entries")).select("cls", "n", "entries", F.col("entries.token").alias("tokens")), "prefixes")
-    candidates = materialize(_enough(near, prefixes, percent), "near-candidates")
-    first = materialize(_links(candidates, _needed_sets(_ends(candidates), text, hot), percent), "near-links")
-    label = connected_components(first)
-
-    at = prefixes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.inline("entries"))
-    open_ = at.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("least_cls")).filter(((F.col("k") > 2) | (F.col("token") >= SALTED)) & (F.lit(count) | (F.col("lo") < F.col("hi"))))  # neighbours of groups of two have met
-    at = materialize(at.join(open_.select("token", "k", "least_cls"), "token"), "open")
-    in_large = at.filter(F.col("k") > SMALL_GROUP).select(F.col("least_cls").alias("a"), F.col("cls").alias("b")).distinct()
-    clusters = connected_components(in_large).withColumnRenamed("node", "cls")
-    weights = rows.filter("class_id is not null").groupBy(F.col("class_id").alias("cls")).agg(F.count(F.lit(1)).alias("weight")) if count else None
-    clusters = materialize(clusters.join(weights, "cls") if count else clusters.withColumn("weight", F.lit(1).cast("long")), "clusters")
-    small = at.filter(F.col("k") <= SMALL_GROUP)
-    if count:
-        small = small.join(clusters.select("cls", F.col("root").alias("cluster")), "cls", "left")
-    l, r = small.alias("l"), small.alias("r")
-    other = (F.col("l.cls") < F.col("r.cls")) & F.coalesce(F.col("l.cluster") != F.col("r.cluster"), F.lit(True)) if count else F.col("l.comp") < F.col("r.comp")  # pairs of one cluster meet in blocks
-    meets = (F.col("l.token") == F.col("r.token")) & other & possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
-    rest = l.join(r, meets).select(*pair(F.col("l.cls"), F.col("r.cls"))).distinct().join(near, ["a", "b"], "left_anti")
-    rest = materialize(_enough(materialize(rest, "rest-pairs"), prefixes, percent), "rest-candidates")
-    sets = _needed_sets(_ends(rest).unionByName(clusters.select("cls")), text, hot)
-    found = materialize(_links(rest, sets, percent).withColumn("n", F.lit(None).cast("long")).withColumn("pair", F.lit(True)).unionByName(_cluster_links(clusters, sets, percent, count).withColumn("pair", F.lit(False))), "second-links")
-    second = found.filter("b is not null").select("a", "b")
-    label = connected_components(first.unionByName(second))
-
-    named = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    named = materialize(named.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "least", F.coalesce("root", "class_id").alias("root")), "named")
+    met = _met(text, percent, hot)
+    links = _candidates(met, percent)
+    large = met.filter("hub").groupBy("b").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "b").limit(ORDER_LIMIT).toPandas()
+    again = None
+    if len(large):
+        again = _met(text, percent, hot, np.sort(large["b"].to_numpy(np.int64)), _filter_table(met.filter("hub").select(F.col("a").alias("cls"))))
+        links = links.unionByName(_candidates(again, percent)).unionByName(again.filter("hub").select("a", "b"))
+    label = connected_components(links)
+    for used in (met, again):
+        if used is not None:
+            discard(used)
+
+    classes = rows.filter("class_id is not null").groupBy(F.col("class_id").alias("cls")).agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"))
+    members = materialize(label.withColumnRenamed("node", "cls").join(classes.select("cls", "weight"), "cls"), "members")  # shingles that stood for large groups go here
+    discard(label)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    clusters = materialize(members.join(sizes, "root").select("cls", "root", "weight", "m"), "clusters")
+    found = materialize(_cluster_links(clusters, text, hot, percent, BLOCK), "links")
+    label = connected_components(found.filter("b is not null").select("a", "b"))
+
+    counts = found.filter("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
+    named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
+    named = materialize(named.select("cls", "least", F.coalesce("root", "cls").alias("root"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "named")
+    for used in (members, clusters, found, label):
+        discard(used)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "root").select("class_id", "component_id")
-    out = ["doc_id", "n_shingles", "class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
-    if count:
-        pairs = _apart(first, clusters).unionByName(found.filter("pair").select("a", "b"))
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        numbers = both.join(weights.withColumnRenamed("cls", "b"), "b").select("a", F.col("weight").alias("n")).unionByName(found.filter("n is not null").select("a", "n"))
-        numbers = weights.join(numbers.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n")), "cls", "left")
-        by_class = by_class.join(numbers.select(F.col("cls").alias("class_id"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "class_id")
-        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(by_class, "class_id", "left").select(*out)
+    by_class = named.join(least, "root").select(F.col("cls").alias("class_id"), "component_id", "n_links")
+    component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(by_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read_table(spark, sf_dir, "documents"), count=True)
+    return ngram_components(read_table(spark, sf_dir, "documents"))
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -509,33 +443,27 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     unchanged.
     """
     found = ngram_components(docs).select("doc_id", "class_id", "component_id").filter("class_id is not null")
-    keys = [F.col(c) for c in docs.columns]
-    whole = F.xxhash64(*keys)
-    winners = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("alone")).agg(F.count(F.lit(1)).alias("members"))
-    kept_ids = winners.filter("component_id is not null").select(F.col("component_id").alias("doc_id"))
-    blank = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^ \t-\r]+")) == 0
-    rows = docs.withColumn("__blank", blank).withColumn("__id", F.col("doc_id").cast("long"))
-    empty = rows.filter("__blank")
-    named = rows.filter("not __blank and __id is not null").join(kept_ids.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    nameless = rows.filter("not __blank and __id is null")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    blank = F.regexp_count(text, F.lit(r"[^ \t-\r]+")) == 0
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), blank.alias("blank"), text.alias("words"), F.xxhash64(*columns).alias("content"))
+    kept_ids = found.filter("component_id is not null").select(F.col("component_id").alias("id")).distinct()
+    named = rows.filter("not blank and id is not null").join(kept_ids, "id", "left_semi").select("id", "row", "content")
     # doc_ids that repeat: few rows, so only theirs are compared
-    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and __id is not null").select("__id")
-    repeated = materialize(repeated, "repeated-ids")
-    if repeated.isEmpty():
-        once = named
-    else:
-        twice = named.join(repeated, "__id", "left_semi").withColumn("__whole", whole)
-        first = twice.groupBy("__id").agg(F.min("__whole").alias("__whole"))
-        once = named.join(repeated, "__id", "left_anti").unionByName(twice.join(first, ["__id", "__whole"], "left_semi").drop("__whole").dropDuplicates(["__id"]))
-    kept = once.unionByName(empty)
+    repeated = materialize(rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated-ids")
+    if not repeated.isEmpty():
+        twice = named.join(repeated, "id", "left_semi")
+        first = twice.groupBy("id").agg(F.min("content").alias("content"))
+        named = named.join(repeated, "id", "left_anti").unionByName(twice.join(first, ["id", "content"], "left_semi").dropDuplicates(["id"]).select("id", "row", "content"))
+    kept = rows.filter("blank").select("row").unionByName(named.select("row"))
+    nameless = rows.filter("not blank and id is null")
     if not nameless.isEmpty():
         kept = kept.unionByName(_nameless(nameless, found))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows without a doc_id that stand for their class: those of components in which no member has one."""
-    lone = found.filter("component_id is null").select("class_id").distinct()
+    """The ``row`` of rows without a doc_id that stand for their class: those of components in which no member has one."""
 
     @F.pandas_udf("long")
     def class_of(text):
@@ -546,6 +474,6 @@ def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([class_id(s) if len(s) else 0 for s in shingle_sets(texts(pa.array(text, pa.string())))])
 
-    lone = lone.withColumnRenamed("class_id", "__class")
-    named = rows.withColumn("__class", class_of(F.col("text").cast("string"))).join(lone, "__class", "left_semi")
-    return named.dropDuplicates(["__class"]).drop("__class")
+    lone = found.filter("component_id is null").select("class_id").distinct()
+    least = rows.withColumn("class_id", class_of("words")).join(lone, "class_id", "left_semi")
+    return least.dropDuplicates(["class_id"]).select("row")
