@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_text, read_table
+from .common import by_bytes, per_text, read_table
 from .textvec import byte_class
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -169,23 +169,34 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every secret in a text becomes ``[SECRET]``, and n_chars follows; no document is dropped.
 
-    Overlapping spans are replaced together. Null texts stay null.
+    Overlapping spans are replaced together. Null texts stay null. Texts are worked on a megabyte at a time.
     """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def redact(column):
-        texts = [t or "" for t in column]
-        out = []
-        for whole, text, sus in zip(column, texts, suspicious_texts(texts), strict=True):
-            base, own = find_secrets(text, bool(sus))
-            pieces, done = [], 0
-            for s, _, e in sorted(base + own):
-                if s >= done:
-                    pieces += [text[done:s], "[SECRET]"]
-                done = max(done, e)
-            out.append(None if whole is None else "".join([*pieces, text[done:]]))
-        return pd.Series(out, dtype=object)
-
-    shown = docs.withColumn("text", redact("text"))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in by_bytes(batch.column(at), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                cols = part.columns
+                cols[at] = pa.array(_redacted(part.column(at).to_pylist()), part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    shown = plain.mapInArrow(run, plain.schema)
     return shown.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else shown
+
+
+def _redacted(texts: list[str | None]) -> list[str | None]:
+    whole = [t or "" for t in texts]
+    out: list[str | None] = []
+    for given, text, sus in zip(texts, whole, suspicious_texts(whole), strict=True):
+        base, own = find_secrets(text, bool(sus))
+        pieces, done = [], 0
+        for s, _, e in sorted(base + own):
+            if s >= done:
+                pieces += [text[done:s], "[SECRET]"]
+            done = max(done, e)
+        out.append(None if given is None else "".join([*pieces, text[done:]]))
+    return out

@@ -7,8 +7,9 @@ falls below zero, its gradient is reversed, so the model cannot overfit the posi
 words of a text and the beginnings of its words, as presence; nothing but the text is an input.
 
 Bounds. The classifier is fitted on at most ``max_positive`` confirmed examples and ``max_unlabelled``
-texts, chosen by the order of a seeded hash of doc_id over all rows; every text is scored whole. Only
-these samples, a table of ``max_features`` weights and scalars reach the driver.
+texts, chosen by the order of a seeded hash of doc_id over all rows, with at most ``max_features`` weights.
+How common a feature is gets counted over all texts outside the held-out fold, and every text is scored
+whole. Only these samples, one count for each feature of the positives, and scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -92,11 +93,37 @@ def _present(table: np.ndarray | None):
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, table: np.ndarray | None) -> list[np.ndarray]:
-    """Features of the texts whose ids are in a table of bounded size."""
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(_present(table), "f array<long>")
+    """Features of the texts whose ids are in a table of bounded size; of a repeated id the least text."""
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(_present(table), "f array<long>")
     return [np.asarray(x, np.int64) for x in rows.toPandas()["f"]]
 
 
+def _counted(table: np.ndarray):
+    """Rows (position, texts that hold it) for the features of a table, and (-1, texts), summed over a task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        find, counts, seen = Lookup(table), np.zeros(len(table), np.int64), 0
+        for batch in batches:
+            column = texts(batch.column(0))
+            for lo, hi in by_bytes(column, 1 << 19):
+                counts += np.bincount(find.find(*feature_hashes(column.slice(lo, hi - lo)))[1], minlength=len(table))
+            seen += len(column)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], seen))], names=["at", "n"])
+
+    return run
+
+
+def commonness(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many texts of ``docs(text)`` each feature of the table stands, and how many texts there are."""
+    rows = docs.select("text").mapInArrow(_counted(table), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(table) + 1, np.int64)
+    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)  # -1: the last
+    return counts[:-1], int(counts[-1])
+
+
 def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimize the non-negative PU risk of a linear model with logistic loss."""
     n, features = len(x_p), x_p.shape[1]
@@ -117,7 +144,7 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate:
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int = 2000, max_unlabelled: int = 4000, max_features: int = 512, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int = 3000, max_unlabelled: int = 6000, max_features: int = 512, seed: int = 11) -> Model | None:
     """Fit on ``docs(doc_id, text)`` given the ids of confirmed toxic ones; None if either sample is empty.
 
     ``labelled`` is the number of labelled rows the positives come from: their share is the class prior.
@@ -133,11 +160,10 @@ def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int =
     values, df_p = np.unique(np.concatenate(p).view(U), return_counts=True)
     least = max(3, int(0.004 * len(p)))
     values, df_p = values[df_p >= least], df_p[df_p >= least]
-    u = _sampled(docs, docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(draw, "doc_id").limit(max_unlabelled), values)
-    if not u or not len(values):
+    if not len(values):
         return None
-    df_u = np.bincount(np.concatenate(u), minlength=len(values))
-    share_p, share_u = (df_p + 0.5) / (len(p) + 1), (df_u + 0.5) / (len(u) + 1)
+    df_u, n_u = commonness(docs, values)
+    share_p, share_u = (df_p + 0.5) / (len(p) + 1), (df_u + 0.5) / (n_u + 1)
     expected = len(p) * share_u
     # Chernoff bound of the chance that so many positives hold the feature by accident, over all features tried
     evidence = np.where(df_p > expected, df_p * np.log(df_p / expected) - df_p + expected, 0.0)
@@ -147,36 +173,39 @@ def fit(docs: DataFrame, positive: DataFrame, labelled: int, max_positive: int =
     good = np.sort(good[np.argsort(-evidence[good], kind="stable")][:max_features])
     if not len(good):
         return None
-    place = np.full(len(values), -1)
-    place[good] = np.arange(len(good))
+    features = values[good]
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(draw, "doc_id").limit(max_unlabelled)
+    u = _sampled(docs, ids, features)
 
     def matrix(rows):
-        x = np.zeros((len(rows), len(good)), np.float32)
+        x = np.zeros((len(rows), len(features)), np.float32)
         for i, r in enumerate(rows):
-            at = place[r]
-            x[i, at[at >= 0]] = 1
+            x[i, r] = 1
         return x
 
-    known = [np.searchsorted(values, h) for h in (r.view(U) for r in p)]
-    p_rows = [k[(k < len(values)) & (values[np.minimum(k, len(values) - 1)] == h.view(U))] for k, h in zip(known, p, strict=True)]
+    at = [np.minimum(np.searchsorted(features, h), len(features) - 1) for h in (r.view(U) for r in p)]
+    p_rows = [k[features[k] == r.view(U)] for k, r in zip(at, p, strict=True)]
     weights, bias = nnpu(matrix(p_rows), matrix(u), prior)
-    return Model(values[good], weights, bias)
+    return Model(features, weights, bias)
+
+
+def scores(model: Model | None, column) -> np.ndarray:
+    """A score for each text of a string column without nulls; 0 without a model."""
+    if model is None:
+        return np.zeros(len(column))
+    owners, at = Lookup(model.features).find(*feature_hashes(column))
+    z = np.bincount(owners, model.weights[at], len(column)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _scored(model: Model | None):
     def run(batches):
         import pyarrow as pa
 
-        find = Lookup(model.features) if model else None
         for batch in batches:
             column = texts(batch.column(1))
             for lo, hi in by_bytes(column, 1 << 19):
-                score = np.zeros(hi - lo)
-                if find:
-                    owners, at = find.find(*feature_hashes(column.slice(lo, hi - lo)))
-                    z = np.bincount(owners, model.weights[at], hi - lo) + model.bias
-                    score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(scores(model, column.slice(lo, hi - lo)))], names=["doc_id", "score"])
 
     return run
 
@@ -214,13 +243,14 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The text alone decides, so a row is kept or dropped in place; no shuffle.
     """
     model = train(docs, read_table(spark, sf_dir, "labels"))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
+    def run(batches):
         import pyarrow as pa
 
-        out = [b.column("score").to_numpy() for b in _scored(model)([pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), pa.array(text, pa.string())], names=["doc_id", "text"])])]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        for batch in batches:
+            column = texts(batch.column(at).cast(pa.string()))
+            for lo, hi in by_bytes(column, 1 << 19):
+                yield batch.slice(lo, hi - lo).filter(pa.array(scores(model, column.slice(lo, hi - lo)) < 0.5))
 
-    return docs.filter(score(F.col("text").cast("string")) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
