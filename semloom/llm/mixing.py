@@ -61,14 +61,16 @@ def targets(sized: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(capped, (epochs * F.col("source_size")).cast("double")).otherwise(F.lit(level) * F.col("weight")))
 
 
-def repetitions(docs: DataFrame, columns: list[str], epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The given columns of ``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__times`` for every row.
+def repetitions(docs: DataFrame, column: str, epochs: int = EPOCHS, seed: str = SEED, small: bool = False) -> DataFrame:
+    """The given column of ``docs(doc_id, text, source)`` with ``__size``, ``__source_size``, ``__target`` and ``__times`` for every row.
 
-    Names of the helper columns begin with two underscores so that none of the caller's clashes.
+    Words are counted once if the column is ``small``; rows with their texts are read again rather than written again.
     """
     draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select(*columns, words_in(F.col("text").cast("string")).alias("__size"), F.col("source").cast("string").alias("__source"), draw.alias("__draw"))
+    rows = docs.select(column, words_in(F.col("text").cast("string")).alias("__size"), F.col("source").cast("string").alias("__source"), draw.alias("__draw"))
     rows = rows.withColumn("__slice", F.substring("__draw", 1, SLICE))
+    if small:
+        rows = materialize(rows, "mix-rows")
     plan = targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), epochs)
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", share).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -88,7 +90,7 @@ def repetitions(docs: DataFrame, columns: list[str], epochs: int = EPOCHS, seed:
     other = joined.filter(F.col("cut").isNull() | (F.col("__slice") != F.col("cut"))).withColumn("__extra", F.when(F.col("cut").isNull(), (F.col("missing") > 0).cast("long")).otherwise((F.col("__slice") < F.col("cut")).cast("long")))
     both = other.unionByName(cut_part)
     times = F.when(F.col("__size") > 0, F.col("whole") + F.col("__extra")).otherwise(0)
-    return both.select(*columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), times.alias("__times"))
+    return both.select(column, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), times.alias("__times"))
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     (rows of one doc_id) go by size. An empty table gives an empty one; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    out = repetitions(docs, ["doc_id"], epochs, seed)
+    out = repetitions(docs, "doc_id", epochs, seed, small=True)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__times") * F.col("__size")).alias("taken"))
 
 
@@ -109,8 +111,9 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands in the result as often as the mix takes it, with the columns it came with."""
-    out = repetitions(docs, docs.columns)
-    return out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    out = repetitions(packed, "row").filter("__times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select("row.*")
 
 
 SQL = r"""
