@@ -51,22 +51,6 @@ class Spec:
         return tuple(k for k, v in asked.items() if v)
 
 
-@dataclass
-class Record:
-    """What a draw did: the seed, the rounds, why it stopped, what was repaired, what it cost and how long it took."""
-
-    mode: str
-    seed: int
-    stop_reason: str = "accepted"
-    rounds: int = 1
-    warnings: list[str] = field(default_factory=list)
-    strata: list[dict[str, Any]] = field(default_factory=list)
-    ledger: Ledger = None  # type: ignore[assignment]
-
-    def __post_init__(self):
-        self.ledger = self.ledger or Ledger()
-
-
 @dataclass
 class Ledger:
     """Cost and time of a draw: what was paid now, what earlier draws had paid for, summed and by the clock."""
@@ -87,6 +71,19 @@ class Ledger:
         return {"cost_usd": paid, "sunk_usd": sunk, "cost_with_sunk_usd": paid + sunk, "summed_s": sum(self.seconds.values()), "wall_s": time.time() - self.began}
 
 
+@dataclass
+class Record:
+    """What a draw did: the seed, the rounds, why it stopped, what was repaired, what it cost and how long it took."""
+
+    mode: str
+    seed: int
+    stop_reason: str = "accepted"
+    rounds: int = 1
+    warnings: list[str] = field(default_factory=list)
+    strata: list[dict[str, Any]] = field(default_factory=list)
+    ledger: Ledger = field(default_factory=Ledger)
+
+
 def seed_of(subset_id: int) -> int:
     return BASE_SEED + subset_id - 1
 

@@ -54,6 +54,10 @@ def sem_join(left: DataFrame, right: DataFrame, provider: Provider, task: Task,
     return sem_filter(pairs, provider, task, watch=watch)
 
 
+#: Rows that a sem_agg without keys takes into its one prompt at most.
+MOST_ITEMS = 1_000_000
+
+
 def group_key(df: DataFrame, key: str) -> Column:
     """Lists compare as sorted."""
     return F.array_sort(F.col(key)) if dict(df.dtypes)[key].startswith("array") else F.col(key)
@@ -65,6 +69,8 @@ def sem_agg(df: DataFrame, provider: Provider, task: Task, group_by: Sequence[st
     ``one_to_many`` spreads list answers over rows, the shorter ones padded with nulls, one row at least;
     ``keep_inputs`` puts the answer beside every row of its group.
     """
+    if not group_by and (n := df.count()) > MOST_ITEMS:
+        raise ValueError(f"sem_agg would put {n} rows into one prompt; group them, and the groups' answers after that")
     inputs = list(task.depends_on) or [c for c in df.columns if c not in group_by]
     keys = {f"__k{i}": group_key(df, k) for i, k in enumerate(group_by)}
     keyed = df.withColumns(keys) if keys else df

@@ -277,8 +277,8 @@ class _Lowering:
             if k < done:
                 continue
             key = (id(plan.source), steps[: k + 1])
-            if node.kind == "sem_agg" and node.attributes["keep_inputs"] and self.costly and any(n.semantic for n in plan.nodes[:k]):
-                df = keep(df)  # its rows are read by the groups and beside their answers
+            if node.kind == "sem_agg" and (node.attributes["keep_inputs"] or not node.attributes["group_by"]) and self.costly and any(n.semantic for n in plan.nodes[:k]):
+                df = keep(df)  # its rows are counted first, or read beside the groups' answers
             df = self._step(df, node, f"{plan.name}_op{k}_{node.kind}")
             # of a shared beginning only its last step, after which the readers part, is kept
             further = (id(plan.source), steps[: k + 2])

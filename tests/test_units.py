@@ -245,6 +245,12 @@ def test_a_product_of_pairs_is_refused(spark):
         p.sem_join(p, "x", depends_on=["id"]).lower(RuleProvider({"x": lambda c: F.lit(True)}))
 
 
+def test_one_prompt_takes_so_many_rows(spark):
+    p = Pipeline.of(spark.range(1_000_001)).sem_agg([{"name": "s", "description": "x"}], "x", depends_on=["id"])
+    with pytest.raises(ValueError, match="one prompt"):
+        p.lower(RuleProvider({"x": lambda c: F.lit("x")}))
+
+
 def test_prompts(spark):
     seen = []
 
