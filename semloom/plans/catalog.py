@@ -869,7 +869,7 @@ def token_cost(spark, sf):
 
 
 @query("SELECT event_type AS op_type, event_type AS op_id, round(sum(value), 4) AS cost_usd, count(*) AS num_records, count(*) FILTER (value > 50) AS num_passed FROM events GROUP BY event_type")
-def operator_stats(spark, sf):
+def summed_operator_stats(spark, sf):
     stats = parquet(spark, sf, "events").select(F.col("event_type").alias("op_id"), F.col("event_type").alias("op_type"), F.col("value").alias("cost_usd"), F.lit(0.0).alias("latency_s"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), (F.col("value") > 50).alias("passed"))
     return metrics.operator_stats(stats).select("op_type", "op_id", F.round("cost_usd", 4).alias("cost_usd"), "num_records", "num_passed")
 
