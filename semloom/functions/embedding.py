@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import bound, tokens
 
 BUCKETS = 64
 
@@ -17,8 +17,9 @@ def bucket(word: Column) -> Column:
 
 def hashed_embedding(text: Column) -> Column:
     """Word counts per bucket, as array<double>."""
-    at = F.transform(tokens(text), bucket)
-    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)).cast("double"))
+    # sorted, with each bucket once more: a bucket's words then lie between its first place and that of the next
+    at = F.sort_array(F.concat(F.transform(tokens(text), bucket), F.sequence(F.lit(0), F.lit(BUCKETS))))
+    return bound(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: (F.array_position(a, b + 1) - F.array_position(a, b) - 1).cast("double")))
 
 
 def query_embedding(query: str) -> list[float]:

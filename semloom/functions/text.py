@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: Catalyst repeats an expression wherever it stands, in a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of a-z and 0-9, in order; null gives null."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(_WORDS), F.lit(1))
@@ -143,8 +148,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     def dot(u: Column, v: Column) -> Column:
         return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    value = F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+    value = bound(x, lambda u: bound(y, lambda v: F.try_divide(dot(u, v), F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))))
+    return bound(value, lambda s: F.when(F.isnan(s) | (F.abs(s) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(s, F.lit(0.0))))
 
 
 def normalize_citations(text: Column | str) -> Column:

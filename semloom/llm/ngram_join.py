@@ -10,18 +10,19 @@ remain cannot reach the least overlap any set below needs.
 
 Whole results without all pairs of a group. Equal sets are one class from the start. Classes that share a
 prefix member are joined pair by pair where few hold it; a pair must share as many prefix members as linked
-sets of their sizes do. Classes with a member that many hold get their prefix once more in an order where
+sets of their sizes do. Classes with a member that many hold get their prefix again in an order where all
 such members come last: two of them that are linked share a member of those prefixes too. Where many hold
-one even then, as in groups of near copies, it joins them itself. The components of all these are clusters, so all links lie within clusters. Each set of a cluster is sent once to the trie that joins it, or
+one even in the last pass, as in groups of near copies, it joins them itself. The components of all these are clusters, so all links lie within clusters. Each set of a cluster is sent once to the trie that joins it, or
 once per block of BLOCK sets where a cluster is larger; blocks emit star forests and numbers of links, never
 all their pairs. No group has a cap, and no pair is dropped other than by bounds that hold for every linked pair.
 
-Scale. Texts are read once for each of four scans and never shuffled; what moves are prefix entries (about
+Scale. Texts are read once for each of five scans at most and never shuffled; what moves are prefix entries (about
 a quarter of the shingles) and the sets of clusters. Prefix entries of frequent shingles are salted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -37,8 +38,12 @@ ORDER_LIMIT = 400_000
 FREQUENT, STRETCH = 3, 1_000_000
 #: Prefix groups of up to so many classes make pairs; those of larger ones form clusters through their shingle. Sets in a block of a cluster.
 SMALL_GROUP, BLOCK = 48, 512
-#: Bytes of the filter that says which sets may be needed; past its capacity more sets move, none fewer.
+#: Bits of the filter that says which sets may be needed; past its capacity more sets move, none fewer.
 FILTER_BITS = 1 << 24
+#: Passes over the prefixes of what is in large groups, each with the shingles of all large groups so far last.
+PASSES = 3
+#: Bits of the filter of shingles that many prefixes hold; past its capacity others come late too, for all sets alike.
+LATE_BITS = 1 << 26
 _HOT = 1 << 62
 #: Entries of shingles this frequent are dealt out with a salt.
 SALTS, SALTED = 16, _HOT | 10 << 56
@@ -114,7 +119,7 @@ def ordered(members: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int, late: np.ndarray | None = None, wanted: np.ndarray | None = None):
-    """Prefix entries (token, class, size); ``late`` shingles come after all others, ``wanted`` is the filter of the classes to go on with."""
+    """Prefix entries (token, class, size); shingles of the filter ``late`` come after all others, ``wanted`` is the filter of the classes to go on with."""
 
     def run(batches):
         import pyarrow as pa
@@ -126,8 +131,8 @@ def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int, late: np.nd
                 if len(s) and (c := class_id(s)) not in seen and (wanted is None or _passes(wanted, c)):
                     seen.add(c)
                     v = ordered(s, hot)
-                    if late is not None and len(late):
-                        last = late[np.minimum(np.searchsorted(late, v), len(late) - 1)] == v
+                    if late is not None:
+                        last = _held(late, v)
                         v = np.concatenate([v[~last], v[last]])
                     parts.append(v[: len(v) - -(-percent * len(v) // 100) + 1])
                     ids.append(c)
@@ -316,18 +321,24 @@ def _blocks(percent: int):
     return run
 
 
-def _filter_table(classes: DataFrame) -> np.ndarray:
-    """A bitmap of the needed classes by their low bits: of fixed size, whatever the input's."""
-    slots = classes.select(F.pmod("cls", F.lit(FILTER_BITS)).alias("s"))
+def _filter_table(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of a column of ids by their low bits: of fixed size, whatever the input's."""
+    slots = ids.select(F.pmod(F.col(ids.columns[0]), F.lit(bits)).alias("s"))
     words = slots.groupBy(F.expr("shiftright(s, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table = np.zeros(bits // 64, np.int64)
     rows = words.toPandas()
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return table
 
 
 def _passes(table: np.ndarray, cls: int) -> bool:
-    return bool(table[(slot := cls % FILTER_BITS) >> 6] >> (slot & 63) & 1)
+    return bool(table[(slot := cls % (64 * len(table))) >> 6] >> (slot & 63) & 1)
+
+
+def _held(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of many ids pass."""
+    slot = ids & (64 * len(table) - 1)
+    return (table[slot >> 6] >> (slot & 63) & 1).astype(bool)
 
 
 def _scan_sets(hot: tuple[np.ndarray, np.ndarray], table: np.ndarray):
@@ -351,19 +362,16 @@ def _met(text: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray], late
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose prefixes can share as many members as those of any linked pair.
+    """Pairs ``a, b`` whose prefixes share as many members, none of a large group, as those of any linked pair.
 
     Of the overlap at most ``ceil(t max(n, m)) - 1`` members lie behind the prefix that ends first, so the
-    rest of the least overlap is common to both prefixes. Members of large groups, which make no pairs, count
-    as shared wherever both sets have some.
+    rest of the least overlap is common to both prefixes. Two sets that share a member of a large group are
+    left to what is made of such groups, so all that others share was counted.
     """
     pairs = met.filter("not hub").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    hubs = met.filter("hub").groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("k"))
-    for end in "ab":
-        pairs = pairs.join(hubs.withColumnsRenamed({"cls": end, "k": f"k_{end}"}), end, "left")
     least = -F.floor(-percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) + F.lit(1e-9))
     behind = -F.floor(-percent * F.greatest("n_a", "n_b") / F.lit(100.0) + F.lit(1e-9)) - 1
-    return pairs.filter(F.col("shared") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= least - behind).select("a", "b")
+    return pairs.filter(F.col("shared") >= least - behind).select("a", "b")
 
 
 def _cluster_links(clusters: DataFrame, text: DataFrame, hot: tuple[np.ndarray, np.ndarray], percent: int, block: int) -> DataFrame:
@@ -372,7 +380,7 @@ def _cluster_links(clusters: DataFrame, text: DataFrame, hot: tuple[np.ndarray,
     Sets come from the texts; others do not leave the scan. A set of a cluster of one block moves once.
     """
     parts = shuffle_partitions(clusters.sparkSession)
-    sets = text.mapInArrow(_scan_sets(hot, _filter_table(clusters)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+    sets = text.mapInArrow(_scan_sets(hot, _filter_table(clusters.select("cls"), FILTER_BITS)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     rows = clusters.join(sets, "cls").select("root", "cls", "weight", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -400,17 +408,22 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     hot = order_table(frequent["cls"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
 
     text = docs.select("text")
-    met = _met(text, percent, hot)
-    links = _candidates(met, percent)
-    large = met.filter("hub").groupBy("b").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "b").limit(ORDER_LIMIT).toPandas()
-    again = None
-    if len(large):
-        again = _met(text, percent, hot, np.sort(large["b"].to_numpy(np.int64)), _filter_table(met.filter("hub").select(F.col("a").alias("cls"))))
-        links = links.unionByName(_candidates(again, percent)).unionByName(again.filter("hub").select("a", "b"))
-    label = connected_components(links)
-    for used in (met, again):
-        if used is not None:
-            discard(used)
+    met, late, links, used = _met(text, percent, hot), None, [], []
+    for k in range(PASSES):
+        used.append(met)
+        links.append(_candidates(met, percent))
+        hubs = met.filter("hub")
+        if hubs.isEmpty():
+            break
+        more = _filter_table(hubs.select("b"), LATE_BITS) | (0 if late is None else late)
+        if k == PASSES - 1 or late is not None and (more == late).all():
+            links.append(hubs.select("a", "b"))
+            break
+        late = more
+        met = _met(text, percent, hot, late, _filter_table(hubs.select("a"), FILTER_BITS))
+    label = connected_components(reduce(DataFrame.unionByName, links))
+    for table in used:
+        discard(table)
 
     classes = rows.filter("class_id is not null").groupBy(F.col("class_id").alias("cls")).agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"))
     members = materialize(label.withColumnRenamed("node", "cls").join(classes.select("cls", "weight"), "cls"), "members")  # shingles that stood for large groups go here

@@ -34,7 +34,8 @@ def unwatched(df: DataFrame, skipped: Column) -> DataFrame:
 
 def sem_filter(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None, watch: Watch = unwatched) -> DataFrame:
     asked, skipped = _asked(df, provider, task, skip_if, watch)
-    return asked.filter(skipped | F.coalesce(F.col(f"{_ANSWER}.value.passed"), F.lit(False))).drop(_ANSWER, _SKIP)
+    passed = F.col(f"{_ANSWER}.value.passed")  # bare, as a filter drops nulls too: so the keys in a verdict by rules become those of a join below
+    return asked.filter(passed if skip_if is None else skipped | passed).drop(_ANSWER, _SKIP)
 
 
 def sem_map(df: DataFrame, provider: Provider, task: Task, skip_if: Any = None, watch: Watch = unwatched) -> DataFrame:

@@ -48,7 +48,7 @@ RULES = RuleProvider(
         "The text mentions the.": lambda c: F.array_contains(X.tokens(c("text")), "the"),
         "The text is long.": lambda c: F.length(c("text")) > 2000,
         "number of different words": lambda c: F.size(X.token_set(c("text"))),
-        "first word of the text": lambda c: F.element_at(X.tokens(c("text")), 1),
+        "first word of the text": lambda c: F.get(X.tokens(c("text")), F.lit(0)),
         "The text speaks of a license.": lambda c: F.contains(F.lower(c("text")), F.lit("license")),
         "Both parts have the same type and size.": lambda c: (c("p_type") == c("p_type_right")) & (c("p_size") == c("p_size_right")),
         "number of turns": lambda c: F.size(c("items")),

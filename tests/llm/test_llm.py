@@ -115,6 +115,27 @@ def test_ngram_join_counts_every_link(spark, monkeypatch, small_group):
     assert [out[i].component_id for i in range(len(texts))] == brute_components(texts)[1]
 
 
+def test_common_passages_do_not_chain_clusters(spark, monkeypatch):
+    """Texts of own words and of passages that many hold: more of these than the order table has room for, yet only copies move together."""
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "ORDER_LIMIT", 1)
+    largest = []
+    links = ngram_join._cluster_links
+    monkeypatch.setattr(ngram_join, "_cluster_links", lambda clusters, *rest: largest.append(clusters.agg(F.max("m")).first()[0]) or links(clusters, *rest))
+    rng = random.Random(8)
+    passages = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=8)) for _ in range(5)]
+    texts = []
+    for i in range(60):
+        own = [f"d{i}x{j}" for j in range(60)]
+        texts.append(" ".join(w for k, p in enumerate(rng.sample(passages, 4)) for w in [*own[15 * k : 15 * k + 15], p]))
+    texts += [texts[0] + " more", texts[1] + " more", "x " + texts[1]]
+    sizes, roots = brute_components(texts)
+    out = {r.doc_id: r for r in ngram_join.ngram_components(docs_of(spark, texts)).collect()}
+    assert [out[i].n_shingles for i in range(len(texts))] == sizes
+    assert [out[i].component_id for i in range(len(texts))] == roots
+    assert largest == [3]
+
+
 def test_trie_finds_all_pairs():
     rng = random.Random(1)
     sets = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 30)))) for _ in range(80)] + [np.arange(5), np.arange(6), np.arange(5)]

@@ -465,3 +465,46 @@ def test_row_filter(spark):
     kept, problem = exact.row_filter(df, "nope > 1")
     assert kept.count() == 3 and problem
     assert exact.row_filter(df, " None ")[1] is None and exact.row_filter(df, "id > 1")[0].count() == 1
+
+
+def test_wordless_texts_have_no_first_word(spark, tmp_path):
+    from semloom.plans import catalog
+
+    rows = [(1, "One two", "en"), (2, "", "en"), (3, "Äöü — !", "de"), (4, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["sem_map"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(1, 2, "one"), (2, 0, None), (3, 0, None), (4, None, None)]
+
+
+def test_sem_join_by_rules_is_a_join_by_their_keys(spark):
+    from semloom.plans import catalog
+
+    plan = catalog.queries()["sem_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    keys = next(x for x in plan.splitlines() if "Join" in x).partition("[")[2].partition("]")[0]
+    assert all(c in keys for c in ("p_brand", "p_type", "p_size"))
+    left = spark.createDataFrame([(1, 2), (2, None), (3, 3)], "a int, v int")
+    p = Pipeline.of(left)
+    same = p.sem_join(p, "same", depends_on=["v", "v_right"]).project(["a", "a_right"]).lower(RuleProvider({"same": lambda c: c("v") == c("v_right")}))
+    assert sorted(map(tuple, same.collect())) == [(1, 1), (3, 3)]
+    kept = p.sem_filter("two", depends_on=["v"], skip_if="a = 3").lower(RuleProvider({"two": lambda c: c("v") == 2}))
+    assert sorted(r.a for r in kept.collect()) == [1, 3]
+
+
+def test_an_embedding_is_computed_once(spark):
+    from semloom.functions.embedding import hashed_cosine, hashed_embedding, query_embedding
+
+    texts = ["the license of the apache", "", "Äöü", None, "a b c " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = df.select(hashed_cosine(F.col("t"), "the apache").alias("s"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.e for r in df.select(hashed_embedding(F.col("t")).alias("e")).collect()] == [[None] * 64 if t is None else query_embedding(t) for t in texts]
+    assert one.collect()[3].s == 0.0
+
+
+def test_chunks_are_ranked_by_rounded_scores(spark):
+    from semloom.operators import retrieval
+
+    score = lambda p: F.when(p == "aaaa", 0.1234561).when(p == "bbbb", 0.1234564).otherwise(0.00015)
+    cut = lambda text, top: retrieval.retrieve(spark.createDataFrame([(text,)], "t string"), ["t"], "q", 4, top=top, score=score).first().t
+    assert cut("aaaabbbb", 1) == "[Chunk rank 1/1, similarity 0.1235]\naaaa"  # a tie: the first chunk
+    assert cut("cccc", 1) == "[Chunk rank 1/1, similarity 0.0001]\ncccc"  # 0.00015 is less than it looks
