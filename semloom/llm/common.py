@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+#: What operators keep in a worker for their next tasks, by operator.
+_KEPT: dict[str, dict] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -79,8 +85,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array holding about ``limit`` bytes each, one row at least."""
-    import numpy as np
-
     sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else []
     start, held = 0, 0
     for i, size in enumerate(sizes):
@@ -92,7 +96,7 @@ def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(column)
 
 
-def per_text(df: DataFrame, keep: list[str], schema: str, rows: Callable[[list[str]], Iterable[tuple]], chunk: int = 1 << 20) -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], schema: str, rows: Callable[[list[str]], Iterable[tuple]], chunk: int = 1 << 20, operator: str | None = None) -> DataFrame:
     """Apply ``rows`` to lists of whole texts (null: empty); its tuples stand beside the columns of ``keep``.
 
     ``rows`` runs once for each few megabytes of text, so a task never holds more than an Arrow batch and
@@ -117,7 +121,67 @@ def per_text(df: DataFrame, keep: list[str], schema: str, rows: Callable[[list[s
                 cols += [pa.array(v, type=target.field(len(keep) + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, schema=target)
 
-    return df.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(apply, out_schema)
+    return df.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(lean(apply, operator), out_schema)
+
+
+def kept(operator: str) -> dict:
+    """A table of an operator that lasts from task to task of a worker, until a task of another operator begins there."""
+    return _KEPT.setdefault(operator, {})
+
+
+def only_kept(operator: str | None) -> None:
+    """Empty the tables of all other operators: workers are used again, so they would hold what every operator so far has kept."""
+    others = [table for name, table in _KEPT.items() if name != operator and table]
+    for table in others:
+        table.clear()
+    if others:
+        gc.collect()  # what was kept may refer to itself
+
+
+def release() -> None:
+    """Give freed memory back to the system, which the allocators would hold for the life of the process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, in a worker that holds no more than a batch's work and what ``operator`` keeps there."""
+
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def task(batches):
+        only_kept(operator)
+        try:
+            yield from run(each(batches))
+        finally:
+            release()
+
+    return task
+
+
+class Packed:
+    """An array that goes to the workers compressed, as beside the array they hold the bytes it came in."""
+
+    def __init__(self, array: np.ndarray | None):
+        self.array = array
+
+    def __getstate__(self):
+        return ("", b"") if self.array is None else (self.array.dtype.str, zlib.compress(self.array.tobytes(), 1))
+
+    def __setstate__(self, state):
+        self.array = np.frombuffer(zlib.decompress(state[1]), state[0]) if state[0] else None
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """The rows of a table of bounded size as Arrow columns; no row becomes an object in the driver."""
+    return df.toArrow()
 
 
 def ceil_div(a: int, b: int) -> int:

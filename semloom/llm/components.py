@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held_at, materialize, place_of
+from .common import discard, held_at, lean, materialize, place_of
 
 
 def _forest(batches):
@@ -42,7 +42,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     and each round's tables are written to the shared folder, so lineage stays short. Self-links and
     repeated links do no harm; nodes without links do not appear; an empty table gives an empty one.
     """
-    links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_forest, "a long, b long"), "links")
+    links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(_forest), "a long, b long"), "links")
     label = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -56,7 +56,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             hook = held_at(further.select("node", F.col("next").alias("root")), place_of(further))
         to_a = hook.select(F.col("node").alias("a"), F.col("root").alias("x"))
         to_b = hook.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        left = materialize(links.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(_forest, "a long, b long"), "links")
+        left = materialize(links.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(lean(_forest), "a long, b long"), "links")
         discard(links)
         links = left
         if label is None:

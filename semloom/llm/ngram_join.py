@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read_table, shuffle_partitions
+from .common import Packed, collected, discard, lean, materialize, read_table, shuffle_partitions
 from .components import connected_components
 
 #: Shingles in the order table, the most frequent ones; it only orders, so results do not depend on it.
@@ -120,10 +120,12 @@ def ordered(members: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 def _scan_prefixes(hot: tuple[np.ndarray, np.ndarray], percent: int, late: np.ndarray | None = None, wanted: np.ndarray | None = None):
     """Prefix entries (token, class, size); shingles of the filter ``late`` come after all others, ``wanted`` is the filter of the classes to go on with."""
+    filters = Packed(late), Packed(wanted)
 
     def run(batches):
         import pyarrow as pa
 
+        late, wanted = (x.array for x in filters)
         seen: set[int] = set()
         for _, sets in _sets(batches):
             parts, ids, sizes = [], [], []
@@ -326,8 +328,8 @@ def _filter_table(ids: DataFrame, bits: int) -> np.ndarray:
     slots = ids.select(F.pmod(F.col(ids.columns[0]), F.lit(bits)).alias("s"))
     words = slots.groupBy(F.expr("shiftright(s, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
     table = np.zeros(bits // 64, np.int64)
-    rows = words.toPandas()
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    rows = collected(words)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return table
 
 
@@ -342,9 +344,12 @@ def _held(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _scan_sets(hot: tuple[np.ndarray, np.ndarray], table: np.ndarray):
+    packed = Packed(table)
+
     def run(batches):
         import pyarrow as pa
 
+        table = packed.array
         for _, sets in _sets(batches):
             rows = {class_id(s): s for s in sets if len(s)}
             rows = {c: s for c, s in rows.items() if _passes(table, c)}
@@ -356,9 +361,9 @@ def _scan_sets(hot: tuple[np.ndarray, np.ndarray], table: np.ndarray):
 def _met(text: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray], late: np.ndarray | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """What the prefix groups of the texts give, as ``_meet`` says. Entries of very frequent shingles are dealt out with a salt."""
     salt = F.when(F.col("token") >= SALTED, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0))
-    entries = text.mapInArrow(_scan_prefixes(hot, percent, late, wanted), "token long, cls long, n int")
+    entries = text.mapInArrow(lean(_scan_prefixes(hot, percent, late, wanted)), "token long, cls long, n int")
     dealt = entries.repartition(shuffle_partitions(text.sparkSession), "token", salt).sortWithinPartitions("token", salt, "n", "cls").select("token", "cls", "n")
-    return materialize(dealt.mapInArrow(_meet(percent, SMALL_GROUP), "a long, b long, n_a int, n_b int, hub boolean"), "met")
+    return materialize(dealt.mapInArrow(lean(_meet(percent, SMALL_GROUP)), "a long, b long, n_a int, n_b int, hub boolean"), "met")
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
@@ -380,13 +385,13 @@ def _cluster_links(clusters: DataFrame, text: DataFrame, hot: tuple[np.ndarray,
     Sets come from the texts; others do not leave the scan. A set of a cluster of one block moves once.
     """
     parts = shuffle_partitions(clusters.sparkSession)
-    sets = text.mapInArrow(_scan_sets(hot, _filter_table(clusters.select("cls"), FILTER_BITS)), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+    sets = text.mapInArrow(lean(_scan_sets(hot, _filter_table(clusters.select("cls"), FILTER_BITS))), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     rows = clusters.join(sets, "cls").select("root", "cls", "weight", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "cls", "weight", "members")
     rows = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "second", "cls")
-    return rows.mapInArrow(_blocks(percent), "a long, b long, n long")
+    return rows.mapInArrow(lean(_blocks(percent)), "a long, b long, n long")
 
 
 def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -401,11 +406,11 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = materialize(docs.mapInArrow(_scan_classes(), "doc_id long, n long, cls long, kind long"), "classes")
+    scanned = materialize(docs.mapInArrow(lean(_scan_classes()), "doc_id long, n long, cls long, kind long"), "classes")
     rows = scanned.filter("kind < 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"))
     often = scanned.filter("kind > 0").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(ORDER_LIMIT)
-    frequent = often.toPandas()
-    hot = order_table(frequent["cls"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
+    frequent = collected(often)
+    hot = order_table(frequent["cls"].to_numpy(), frequent["n"].to_numpy())
 
     text = docs.select("text")
     met, late, links, used = _met(text, percent, hot), None, [], []

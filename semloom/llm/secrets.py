@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, per_text, read_table
+from .common import by_bytes, kept, lean, per_text, read_table
 from .textvec import byte_class
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,7 +38,7 @@ _BETWEEN = re.compile(r"[A-Za-z0-9]+")
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-_encoding: dict = {}
+_encoding = kept("secrets")
 
 
 def vocabulary(path: str = VOCABULARY):
@@ -159,7 +159,7 @@ def secret_scan(docs: DataFrame, path: str = VOCABULARY, ratio: float = RATIO) -
     where it lies, so nothing is shuffled. ``path`` is the vocabulary file on every executor.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return per_text(docs, ["doc_id"], "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long", _scan(path, ratio))
+    return per_text(docs, ["doc_id"], "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long", _scan(path, ratio), operator="secrets")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    shown = plain.mapInArrow(run, plain.schema)
+    shown = plain.mapInArrow(lean(run, "secrets"), plain.schema)
     return shown.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else shown
 
 

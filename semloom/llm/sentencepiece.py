@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import kept, lean, read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -233,7 +233,7 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = kept("sentencepiece")
 
 
 def codec(path: str = MODEL) -> Codec:
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     doc_id is kept; an empty table gives an empty one; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_encode_batches(path), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(_encode_batches(path), "sentencepiece"), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, read_table
+from .common import by_bytes, collected, lean, read_table
 from .textvec import ALNUM, U, mix, texts, words
 
 #: Lengths in bytes of the word beginnings that count as features beside whole words.
@@ -94,8 +94,9 @@ def _present(table: np.ndarray | None):
 
 def _sampled(docs: DataFrame, ids: DataFrame, table: np.ndarray | None) -> list[np.ndarray]:
     """Features of the texts whose ids are in a table of bounded size; of a repeated id the least text."""
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(_present(table), "f array<long>")
-    return [np.asarray(x, np.int64) for x in rows.toPandas()["f"]]
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(lean(_present(table)), "f array<long>")
+    lists = [x for x in collected(rows)["f"].chunks if len(x)]
+    return [f for x in lists for f in np.split(x.flatten().to_numpy(), x.offsets.to_numpy()[1:-1] - x.offsets[0].as_py())]
 
 
 def _counted(table: np.ndarray):
@@ -118,9 +119,9 @@ def _counted(table: np.ndarray):
 
 def commonness(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many texts of ``docs(text)`` each feature of the table stands, and how many texts there are."""
-    rows = docs.select("text").mapInArrow(_counted(table), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(table) + 1, np.int64)
-    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)  # -1: the last
+    rows = docs.select("text").mapInArrow(lean(_counted(table)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    rows, counts = collected(rows), np.zeros(len(table) + 1, np.int64)
+    counts[rows["at"].to_numpy()] = rows["n"].to_numpy()  # -1: the last
     return counts[:-1], int(counts[-1])
 
 
@@ -228,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     as held out. Empty tables give an empty one; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = docs.mapInArrow(_scored(train(docs, labels)), "doc_id long, score double")
+    scored = docs.mapInArrow(lean(_scored(train(docs, labels))), "doc_id long, score double")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -253,4 +254,4 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for lo, hi in by_bytes(column, 1 << 19):
                 yield batch.slice(lo, hi - lo).filter(pa.array(scores(model, column.slice(lo, hi - lo)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -256,3 +256,47 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_root(Nowhere)
+
+
+def test_a_task_drops_what_other_operators_keep(monkeypatch):
+    released = []
+    monkeypatch.setattr(common, "release", lambda: released.append(1))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["one two three four five six", None])], names=["doc_id", "text"])
+    sentencepiece.codec()
+    secrets.vocabulary()
+    encoded = list(common.lean(sentencepiece._encode_batches(sentencepiece.MODEL), "sentencepiece")(iter([batch] * 3)))
+    assert sentencepiece._codecs and not secrets._encoding and sum(b.num_rows for b in encoded) == 6
+    assert len(released) == 4  # after each batch and at the end
+    classes = list(common.lean(ngram_join._scan_classes())(iter([batch])))
+    assert not sentencepiece._codecs and classes[0].column(1).to_pylist() == [2, 0]
+    assert sentencepiece.codec().encode("one two")  # comes back when asked for
+
+
+def test_driver_gets_samples_and_filters_as_columns(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows became objects in the driver"))
+    texts = ["insulting words here", "", None, "words", "plain text of many words", "insulting"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    ids = spark.range(6).withColumnRenamed("id", "doc_id")
+    found = toxicity._sampled(docs, ids, None)
+    brute = [np.unique(toxicity.feature_hashes(textvec.texts(pa.array([t], pa.string())))[0]).view(np.int64) for t in texts]
+    assert sorted(sorted(x.tolist()) for x in found) == sorted(sorted(x.tolist()) for x in brute)
+    assert toxicity._sampled(docs, ids.filter("false"), None) == []
+    table = ngram_join._filter_table(spark.range(0, 5000, 7), 1 << 10)
+    assert [ngram_join._passes(table, x) for x in range(1 << 10)] == [x in {i % (1 << 10) for i in range(0, 5000, 7)} for x in range(1 << 10)]
+    assert ngram_join.ngram_components(docs).count() == 6
+
+
+def test_filters_travel_compressed():
+    import pickle
+
+    from pyspark.cloudpickle import dumps
+
+    late = np.zeros(ngram_join.LATE_BITS // 64, np.int64)
+    order = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(dumps(ngram_join._scan_prefixes(order, 75, late, late[: ngram_join.FILTER_BITS // 64]))) < 200_000
+    batch = pa.record_batch([pa.array(["a b c d e f", "", "a b c d e f g h i j k l"])], names=["text"])
+    for given in (None, np.full(1 << 10, -1), np.arange(1 << 10)):
+        here = list(ngram_join._scan_prefixes(order, 75, given, None)(iter([batch])))
+        assert here and pickle.loads(dumps(ngram_join._scan_prefixes(order, 75, given, None)))(iter([batch])).__next__().equals(here[0])
